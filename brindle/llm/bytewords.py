@@ -51,7 +51,7 @@ class Words(NamedTuple):
     end: np.ndarray
     bounds: np.ndarray
     hash: np.ndarray
-    power_sums: list
+    prefix_hash: list
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,43 +96,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
-def _cuts(data: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pieces that end where no word is cut."""
+def _cuts(data: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces that end where a word ends, so that none is cut."""
     at, n = 0, len(data)
     while at < n:
         to = min(at + PIECE, n)
         if to < n:
-            back = np.flatnonzero(~word[at:to])
-            if len(back):
-                to = at + int(back[-1]) + 1
-            else:
-                ahead = np.flatnonzero(~word[to:])
-                to = to + int(ahead[0]) + 1 if len(ahead) else n
+            k = int(np.searchsorted(end, to, "right"))
+            if k and end[k - 1] > at:
+                to = int(end[k - 1])
+            elif k < len(end):
+                to = int(end[k])
         yield at, to
         at = to
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray = LOWER, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
-    """Blocks of words with their 64-bit hashes. For each n of `prefixes`, power_sums has the hashes
+    """Blocks of words with their 64-bit hashes. `is_word` may hold several classes (0 is none): a
+    word is a run of one class. For each n of `prefixes`, prefix_hash has the hashes
     of the words' first n bytes (0 where the word is not longer than n)."""
     for lo, hi in spans(offsets):
         d = data[offsets[lo] : offsets[hi]]
         off = offsets[lo : hi + 1] - offsets[lo]
-        w = is_word[d]
-        before = np.empty(len(d), bool)
-        after = np.empty(len(d), bool)
-        if len(d):
-            before[0] = after[-1] = False
-            before[1:] = w[:-1]
-            after[:-1] = w[1:]
-            inner = off[(off > 0) & (off < len(d))]
-            before[inner] = False
-            after[inner - 1] = False
-        start = np.flatnonzero(w & ~before)
-        end = np.flatnonzero(w & ~after) + 1
+        kind = is_word[d].view(np.uint8)
+        before = np.zeros(len(d), np.uint8)
+        after = np.zeros(len(d), np.uint8)
+        before[1:] = kind[:-1]
+        after[:-1] = kind[1:]
+        inner = off[(off > 0) & (off < len(d))]
+        before[inner] = 0
+        after[inner - 1] = 0
+        start = np.flatnonzero((kind > 0) & (before != kind))
+        end = np.flatnonzero((kind > 0) & (after != kind)) + 1
         h = np.empty(len(start), np.uint64)
         pre = [np.zeros(len(start), np.uint64) for _ in prefixes]
-        for a, b in _cuts(d, w):
+        for a, b in _cuts(d, end):
             i, j = np.searchsorted(start, (a, b))
             if i == j:
                 continue

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.byte_bpe import op5_byte_bpe
+from brindle.llm.decontamination import op3_decontamination
 from brindle.llm.exact_dedup import op2_exact_dedup
 from brindle.llm.hilbert_sharding import op10_hilbert_sharding
 from brindle.llm.token_counts import op6_token_counts
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_exact_dedup,
+        op3_decontamination,
         op5_byte_bpe,
         op6_token_counts,
         op10_hilbert_sharding,
