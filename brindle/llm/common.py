@@ -7,7 +7,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whitespace of the operators' contracts: space, tab, LF, VT, FF, CR.
@@ -82,3 +82,21 @@ def without_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = ids.select(key)
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, "left_anti")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y, weight) of at most `per_class` labelled documents of each class for which
+    `learn` holds: those whose ids hash lowest. Weights make up for the classes' different shares.
+    The ids, at most twice `per_class`, are broadcast; only the sample's texts move."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & learn).groupBy(id_col).agg(F.max(label).alias("y"))
+    known = known.join(docs.where(F.col(text_col).isNotNull()).select(id_col).distinct(), id_col, "left_semi")
+    known = written(known, "labelled")
+    sizes = {bool(r.y): r.n for r in known.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for y in (False, True):
+        n = sizes.get(y, 0)
+        weight = max(n, 1) / max(min(n, per_class), 1)
+        mine = known.where((F.col("y") > 0) == y).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(per_class)
+        parts.append(mine.select(id_col, F.lit(int(y)).alias("y"), F.lit(weight).alias("weight")))
+    chosen = parts[0].unionByName(parts[1])
+    return docs.join(F.broadcast(chosen), id_col).groupBy(F.col(id_col).alias("id"), "y", "weight").agg(F.min(text_col).alias("text"))
