@@ -78,10 +78,12 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Da
 
 def without_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """`df` without the rows whose key is in `ids`, a written table. Up to BROADCAST_IDS ids the
-    texts stay where they are; beyond that it is a shuffled anti join."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts stay where they are; beyond that it is a shuffled anti join, sorted by key so that a
+    second evaluation gives the same order."""
     ids = ids.select(key)
-    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, "left_anti")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(ids), key, "left_anti")
+    return df.join(ids.hint("shuffle_hash"), key, "left_anti").sortWithinPartitions(key)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from brindle.llm.decontamination import op3_decontamination
 from brindle.llm.exact_dedup import op2_exact_dedup
 from brindle.llm.hilbert_sharding import op10_hilbert_sharding
 from brindle.llm import license_scan
+from brindle.llm.jaccard_join import op8_jaccard_join
 from brindle.llm.license_scan import op1_license_scan
 from brindle.llm.quality import op7_quality
 from brindle.llm.token_counts import op6_token_counts
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_byte_bpe,
         op6_token_counts,
         op7_quality,
+        op8_jaccard_join,
         op9_toxicity,
         op10_hilbert_sharding,
     )
@@ -61,3 +63,19 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
 }
+
+ORACLES["op8_jaccard_join"] = """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 70 * (any_value(a.n) + any_value(b.n) - count(*))),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT count(*) FROM p WHERE p.x = s.doc_id) AS n_similar,
+               (SELECT min(y) FROM r WHERE r.x = s.doc_id) AS component_id
+        FROM s"""
