@@ -102,7 +102,11 @@ def _g2(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     """Full-batch Adam on the weighted likelihood of document labels under the noisy-or, over the
     features that lean to toxic documents beyond chance. Equal texts count once."""
-    _, once = np.unique([" ".join(t.split()) for t in texts], return_index=True) if texts else (None, np.empty(0, int))
+    first: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        first.setdefault(" ".join(t.split()), i)
+    once = np.array(sorted(first.values()), np.int64)
+    del first
     texts, y, weight = [texts[i] for i in once], y[once], weight[once]
     none = Model(np.zeros((1 << BITS) + 1, np.float32), -50.0)
     if len(set(y.tolist())) < 2:
