@@ -422,5 +422,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each component: that of the smallest id (null ids last), of equal ids
+    the first row. Rows with empty sets all stay."""
+    found = written(similar(docs, id_col, text_col).where("n_similar > 0").select(F.col("row_id").alias("_row"), F.col(id_col).alias("id"), "component"), "similar")
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("_row").alias("row"))
+    first = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row"))
+    gone = written(found.select("_row").join(first, "_row", "left_anti"), "dropped")
+    return without_rows(with_row_id(docs, "_row"), gone, "_row").select(*docs.columns)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "n_similar", "component_id")

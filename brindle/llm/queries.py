@@ -13,6 +13,7 @@ from brindle.llm.hilbert_sharding import op10_hilbert_sharding
 from brindle.llm import license_scan
 from brindle.llm.jaccard_join import op8_jaccard_join
 from brindle.llm.license_scan import op1_license_scan
+from brindle.llm.pii import op4_pii
 from brindle.llm.quality import op7_quality
 from brindle.llm.token_counts import op6_token_counts
 from brindle.llm.toxicity import op9_toxicity
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_license_scan,
         op2_exact_dedup,
         op3_decontamination,
+        op4_pii,
         op5_byte_bpe,
         op6_token_counts,
         op7_quality,
