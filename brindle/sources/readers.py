@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One object per line; missing fields are null; a byte-order mark before the first line is no
     part of it. Only the selected fields are parsed."""
     text = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where("trim(value) != ''")
     return text.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def json_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines by the built-in reader, which prunes columns; for files without a byte-order mark."""
     return spark.read.schema(schema).json(path)
 
