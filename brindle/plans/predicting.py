@@ -1,0 +1,82 @@
+"""Rating prediction queries. Customers stand for users, parts for businesses."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.operators import predicting as P
+from brindle.plans.registry import query
+from brindle.sources import tables as T
+
+_FEATURES = ["u_avg", "b_avg", "u_n", "b_n"]
+
+
+def _rows(ratings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Features of pairs from the training ratings; null for unseen users and businesses."""
+    user = ratings.groupBy("user_id").agg(F.avg("stars").alias("u_avg"), F.count("*").cast("double").alias("u_n"))
+    business = ratings.groupBy("business_id").agg(F.avg("stars").alias("b_avg"), F.count("*").cast("double").alias("b_n"))
+    return wanted.join(user, "user_id", "left").join(business, "business_id", "left")
+
+
+def _als(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = T.ratings(spark, sf_dir, train=True)
+    return P.als_predictions(P.als_model(train), T.test_pairs(spark, sf_dir), train)
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = T.ratings(spark, sf_dir, train=True)
+    model = P.tree_pipeline(_FEATURES, trees=20).fit(_rows(train, train))
+    return P.tree_predictions(model, _rows(train, T.test_pairs(spark, sf_dir)))
+
+
+@query()
+def als_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _als(spark, sf_dir)
+
+
+@query()
+def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees(spark, sf_dir)
+
+
+@query()
+def blend_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.blend(_als(spark, sf_dir), _trees(spark, sf_dir))
+
+
+@query(
+    f"""WITH r AS (SELECT * FROM {T.TRAIN}), w AS (SELECT * FROM {T.TEST}),
+    u AS (SELECT user_id, avg(stars) AS u_avg, count(*)::DOUBLE AS u_n FROM r GROUP BY ALL), b AS (SELECT business_id, avg(stars) AS b_avg, count(*)::DOUBLE AS b_n FROM r GROUP BY ALL)
+    SELECT w.user_id, w.business_id, round(u_avg, 6) AS u_avg, round(b_avg, 6) AS b_avg, u_n, b_n FROM w LEFT JOIN u USING (user_id) LEFT JOIN b USING (business_id)"""
+)
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(T.ratings(spark, sf_dir, train=True), T.test_pairs(spark, sf_dir))
+    return rows.select("user_id", "business_id", F.round("u_avg", 6).alias("u_avg"), F.round("b_avg", 6).alias("b_avg"), "u_n", "b_n")
+
+
+@query(
+    f"""SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 5 END AS friends, (c_custkey % 3) AS elite, 2020 - year(d) AS yelping_since, round(user_avg, 6) AS user_avg
+    FROM customer LEFT JOIN (SELECT user_id, min(date) AS d, avg(stars) AS user_avg FROM {T.REVIEWS} GROUP BY ALL) ON user_id = c_custkey"""
+)
+def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = T.reviews(spark, sf_dir)
+    since = reviews.groupBy("user_id").agg(F.date_format(F.min("date"), "yyyy-MM-dd HH:mm:ss").alias("yelping_since"))
+    names = lambda n: F.array_join(F.array_repeat(F.lit("x"), n.cast("int")), ",")
+    users = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), names(F.col("c_custkey") % 5).alias("friends"), names(F.col("c_custkey") % 3).alias("elite"))
+    got = P.user_features(users.join(since, "user_id", "left"), P.averages(reviews, "user_id", "user_avg"))
+    return got.select("user_id", F.col("friends").cast("long").alias("friends"), F.col("elite").cast("long").alias("elite"), F.col("yelping_since").cast("long").alias("yelping_since"), F.round("user_avg", 6).alias("user_avg"))
+
+
+@query(
+    f"""SELECT p_partkey AS business_id, 2 AS n_categories, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'd' WHEN 2 THEN 'e' WHEN 3 THEN 'b' ELSE 'd' END AS hrs, round(biz_avg, 6) AS biz_avg
+    FROM part LEFT JOIN (SELECT business_id, avg(stars) AS biz_avg FROM {T.REVIEWS} GROUP BY ALL) ON business_id = p_partkey"""
+)
+def business_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening days by size: none known, working days, weekend, both, no day."""
+    day = lambda *d: F.create_map(*(F.lit(x) for n in d for x in (n, "9:0-17:0")))
+    kind = F.col("p_size") % 5
+    hours = F.when(kind == 1, day("Monday", "Friday")).when(kind == 2, day("Sunday")).when(kind == 3, day("Monday", "Sunday")).when(kind == 4, F.map_filter(day("Monday"), lambda k, v: F.lit(False)))
+    businesses = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("business_id"), F.concat_ws(", ", "p_type", "p_brand").alias("categories"), hours.alias("hours"))
+    got = P.business_features(businesses, P.averages(T.reviews(spark, sf_dir), "business_id", "biz_avg"))
+    return got.select("business_id", F.size("categories").alias("n_categories"), "hrs", F.round("biz_avg", 6).alias("biz_avg"))
