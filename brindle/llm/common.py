@@ -4,12 +4,14 @@ skew-proof attachment of group facts, and removal of rows without moving texts w
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import shared_dir, written
+
 #: Whitespace of the operators' contracts: space, tab, LF, VT, FF, CR.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -28,30 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a temporary folder serves, but only in local mode (tests); on a cluster a
-    folder of one machine would lose data with that machine, so there it is an error.
-    """
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="brindle-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """`df`, computed once and read back from the shared folder: it cuts lineage, survives the loss
-    of executors, and fixes anything (row numbers, samples) that a second evaluation might change."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def smaller_batches(spark: SparkSession, size: str = "12m") -> Iterator[None]:
+    """Texts reach Python in smaller batches while this holds, which is for jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import attach_groups, documents, with_row_id, without_rows, written
+from brindle.llm.common import attach_groups, documents, smaller_batches, with_row_id, without_rows, written
 
 SHINGLE = 3
 
@@ -40,15 +40,19 @@ PERCENT = 70
 #: Elements of the subsets that key light sets.
 SUBSET = 2
 
-#: Bytes of text in a block, and of all text per range of the hash space.
-BLOCK_BYTES = 12 << 20
-RANGE_BYTES = 16 << 20
+#: Bytes of text in a block, per range of the hash space, and per task that answers for ranges.
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 
 #: Bits of a fingerprint within its range.
 BITS = 40
 
+#: One in so many subset keys is looked at to estimate what they cost.
+PROBES = 64
+
 #: Sets in a cell of the check.
-CELL = 1000
+CELL = 500
 
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -143,26 +147,25 @@ def _rows(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["range", "block", "tokens", "numbers"])
 
 
-def _shared(rows: list[tuple[int, bytes, bytes]], number: int) -> Iterator[pa.RecordBatch]:
-    """For each block of a range: the entries whose fingerprint occurs in more than one set."""
-    tokens = [_unpack(t) for _, t, _ in rows]
-    every = np.concatenate(tokens)
-    order = np.sort(every)
-    again = order[1:] == order[:-1]
-    shared = np.unique(order[1:][again])
-    del every
+def _shared(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """For each block of some ranges: the entries whose fingerprint occurs in more than one set."""
+    whole = lambda r, t: _unpack(t) | np.uint64(r) << np.uint64(BITS)
+    every = np.concatenate([whole(r, t) for r, _, t, _ in rows])
+    every.sort()
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
     if not len(shared):
         return
-    count = np.searchsorted(order, shared, "right") - np.searchsorted(order, shared)
+    count = np.searchsorted(every, shared, "right") - np.searchsorted(every, shared)
+    del every
     out = []
-    for (block, _, numbers), t in zip(rows, tokens):
+    for r, block, packed, numbers in rows:
+        t = whole(r, packed)
         k = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
         keep = shared[k] == t
         if keep.any():
             docs = np.frombuffer(numbers, np.uint16)[keep]
-            own = t[keep] | np.uint64(number) << np.uint64(BITS)
             df = np.minimum(count[k[keep]], 0xFFFFFFFF).astype(np.uint32)
-            out.append((block, own.tobytes() + df.tobytes() + docs.tobytes()))
+            out.append((block, t[keep].tobytes() + df.tobytes() + docs.tobytes()))
     for k in range(0, len(out), 64):
         yield _answers(out[k : k + 64])
 
@@ -173,20 +176,16 @@ def _answers(rows: list[tuple[int, bytes]], members: bool = False) -> pa.RecordB
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range, one range at a time; the rows about blocks' documents pass through."""
-    now, rows = None, []
+    """All rows of a task's ranges; the rows about blocks' documents pass through."""
+    rows = []
     for batch in batches:
         for r, block, tokens, numbers in zip(*(c.to_pylist() for c in batch.columns)):
             if r < 0:
                 yield _answers([(block, tokens + numbers)], True)
-                continue
-            if r != now:
-                if rows:
-                    yield from _shared(rows, now)
-                now, rows = r, []
-            rows.append((block, tokens, numbers))
+            else:
+                rows.append((r, block, tokens, numbers))
     if rows:
-        yield from _shared(rows, now)
+        yield from _shared(rows)
 
 
 def _need(size: np.ndarray) -> np.ndarray:
@@ -195,36 +194,67 @@ def _need(size: np.ndarray) -> np.ndarray:
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: the sets that can have partners, with their shared shingles in global order, how
-    many of these are in the prefix, and the length of the lists that the prefix would scan."""
+    """Per block of a task: the sets that can have partners, with their shared shingles in global
+    order, how many of these are in the prefix, and the largest frequency among those."""
+    known: dict[int, bytes] = {}
+    entries: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for block, about, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if about:
+                known[block] = raw
+            else:
+                entries.setdefault(block, []).append(raw)
+    for block in list(entries):
+        yield from _sets_of(known[block], entries.pop(block))
+
+
+def _sets_of(members: bytes, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    row, size = np.frombuffer(members, np.int64).reshape(2, -1)
+    token, df, doc = [], [], []
+    for raw in blobs:
+        n = len(raw) // 14
+        token.append(np.frombuffer(raw, np.uint64, n))
+        df.append(np.frombuffer(raw, np.uint32, n, 8 * n))
+        doc.append(np.frombuffer(raw, np.uint16, n, 12 * n))
+    token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
+    count = np.bincount(doc, minlength=len(row))
+    alive = (size > 1) & (count >= _need(size))
+    keep = alive[doc]
+    token, df, doc = token[keep], df[keep], doc[keep]
+    order = np.lexsort((token, df, doc))
+    token, df, doc = token[order], df[order], doc[order]
+    own = np.flatnonzero(alive)
+    first = np.searchsorted(doc, own)
+    last = np.searchsorted(doc, own, "right")
+    # the set's own shingles come first in its order
+    prefix = size[own] - _need(size[own]) + 1 - (size[own] - (last - first))
+    out = []
+    for d, a, b, m in zip(own.tolist(), first.tolist(), last.tolist(), prefix.tolist()):
+        if m > 0:
+            out.append((int(row[d]), int(size[d]), int(m), int(df[a + m - 1]), token[a:b].tobytes()))
+    for k in range(0, len(out), 1024):
+        part = list(zip(*out[k : k + 1024]))
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int64()), pa.array(part[4], pa.binary())], ["row_id", "size", "prefix", "df", "tokens"])
+
+
+def _subsets(prefix: np.ndarray) -> np.ndarray:
+    i, j = np.triu_indices(len(prefix), 1)
+    lo, hi = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
+    return bytewords.mix(lo * _A + hi * _B) | np.uint64(1)
+
+
+def _singles(prefix: np.ndarray) -> np.ndarray:
+    return bytewords.mix(prefix) & ~np.uint64(1)
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for members, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            row, size = np.frombuffer(members, np.int64).reshape(2, -1)
-            token, df, doc = [], [], []
-            for raw in blobs:
-                n = len(raw) // 14
-                token.append(np.frombuffer(raw, np.uint64, n))
-                df.append(np.frombuffer(raw, np.uint32, n, 8 * n))
-                doc.append(np.frombuffer(raw, np.uint16, n, 12 * n))
-            token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
-            count = np.bincount(doc, minlength=len(row))
-            alive = (size > 1) & (count >= _need(size))
-            keep = alive[doc]
-            token, df, doc = token[keep], df[keep], doc[keep]
-            order = np.lexsort((token, df, doc))
-            token, df, doc = token[order], df[order], doc[order]
-            own = np.flatnonzero(alive)
-            first = np.searchsorted(doc, own)
-            last = np.searchsorted(doc, own, "right")
-            # the set's own shingles come first in its order
-            prefix = size[own] - _need(size[own]) + 1 - (size[own] - (last - first))
-            out = []
-            for d, a, b, m in zip(own.tolist(), first.tolist(), last.tolist(), prefix.tolist()):
-                if m > 0:
-                    out.append((int(row[d]), int(size[d]), int(m), float(df[a : a + m].sum()), token[a:b].tobytes()))
-            for k in range(0, len(out), 1024):
-                part = list(zip(*out[k : k + 1024]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.float64()), pa.array(part[4], pa.binary())], ["row_id", "size", "prefix", "scan", "tokens"])
+        keys, steps = [], []
+        for m, raw, step in zip(*(batch.column(k).to_pylist() for k in (2, 4, 5))):
+            keys.append(_singles(np.frombuffer(raw, np.uint64, m)))
+            steps.append(np.full(m, step, np.int32))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(steps))], ["key", "step"])
 
 
 def _keys(boundary: int):
@@ -239,12 +269,9 @@ def _keys(boundary: int):
                 t = np.frombuffer(raw, np.uint64)
                 parts = []
                 if size <= boundary:
-                    p = t[: m + SUBSET - 1]
-                    i, j = np.triu_indices(len(p), 1)
-                    lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-                    parts.append(bytewords.mix(lo * _A + hi * _B) | np.uint64(1))
+                    parts.append(_subsets(t[: m + SUBSET - 1]))
                 if size > boundary or size >= near:
-                    parts.append(bytewords.mix(t[:m]) & ~np.uint64(1))
+                    parts.append(_singles(t[:m]))
                 key = np.concatenate(parts)
                 keys.append(key)
                 rows.append(np.full(len(key), row))
@@ -264,61 +291,98 @@ def _entries(keys, rows, sizes, heavy) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(heavy))], ["key", "row_id", "size", "heavy"])
 
 
+def _sizes(size: Column) -> Column:
+    """Steps of set sizes at which a boundary is looked for: at most some 100."""
+    return F.floor(F.log2(size.cast("double")) * 4).cast("int")
+
+
+def _met(keys: DataFrame) -> list:
+    """By step: keys, and the pairs of entries that meet under one key when all sets up to the step
+    take part and did not before."""
+    per = keys.groupBy("key", "step").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("step"))
+    more = (F.col("upto") * F.col("upto") - (F.col("upto") - F.col("n")) * (F.col("upto") - F.col("n"))).cast("double") / 2
+    return per.withColumn("upto", upto).groupBy("step").agg(F.sum("n").alias("keys"), F.sum(more).alias("pairs")).collect()
+
+
+def _sampled(steps: int):
+    """(key, step) of the subsets of sets up to a step, of one in PROBES keys."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, m, raw, step in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4, 5))):
+                if step <= steps:
+                    key = _subsets(np.frombuffer(raw, np.uint64, m + SUBSET - 1 if 8 * (m + SUBSET - 1) <= len(raw) else m))
+                    key = key[key % np.uint64(PROBES) == np.uint64(1)]
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array([step] * len(key), pa.int32())], ["key", "step"])
+
+    return work
+
+
 def _boundary(sets: DataFrame) -> int:
-    """The set size up to which subsets cost less than scans; sizes are looked at in at most some 64
-    steps. Subset keys cost a row each; a scan costs a row per list entry met."""
-    step = F.floor(F.log2(F.col("size").cast("double")) * 4)
+    """The set size up to which keying by subsets costs less than scanning lists. A cost is a row per
+    key and per pair of entries that meet under one: counted for lists, and for subsets estimated
+    from one in PROBES keys, over the sizes whose subsets are not already too many."""
+    stepped = sets.withColumn("step", _sizes(F.col("size")))
     m = F.col("prefix").cast("double")
-    rows = (
-        sets.groupBy(step.alias("step"))
-        .agg(F.max("size").alias("top"), F.sum(m * (m + 1) / 2).alias("subsets"), F.sum("scan").alias("scan"), F.sum(m).alias("singles"))
-        .orderBy("step").collect()
-    )
-    best, at = sum(r.scan for r in rows), 0
-    for k in range(len(rows)):
-        top = rows[k].top
-        cost = 2 * sum(r.subsets for r in rows[: k + 1]) + sum(r.scan for r in rows[k + 1 :])
-        cost += sum(r.singles for r in rows[: k + 1] if r.top >= PERCENT * top // 100)
+    rows = stepped.groupBy("step").agg(F.max("size").alias("top"), F.sum(m * (m + 1) / 2).alias("subsets")).orderBy("step").collect()
+    lists = {r.step: r for r in _met(stepped.mapInArrow(_single, "key long, step int"))}
+    total = sum(r.pairs for r in lists.values())
+    count, last = 0.0, None
+    for r in rows:
+        count += r.subsets
+        if 2 * count > total:
+            break
+        last = r.step
+    if last is None:
+        return 0
+    subsets = {r.step: r for r in _met(stepped.mapInArrow(_sampled(last), "key long, step int"))}
+    best, at, cost = total, 0, total
+    for r in rows:
+        if r.step > last:
+            break
+        cost += 2 * r.subsets
+        cost += PROBES * subsets[r.step].pairs if r.step in subsets else 0
+        cost -= lists[r.step].pairs if r.step in lists else 0
         if cost < best:
-            best, at = cost, top
+            best, at = cost, r.top
     return at
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell, sets before pairs: links among the pairs."""
-    now, sets, pairs = None, {}, []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        if not pairs:
-            return
-        rows = list(sets)
-        place = {r: i for i, r in enumerate(rows)}
-        size = np.array([sets[r][0] for r in rows], np.int64)
-        lists = [np.frombuffer(sets[r][1], np.uint64) for r in rows]
-        known, code = np.unique(np.concatenate(lists), return_inverse=True)
-        doc = np.repeat(np.arange(len(rows)), [len(t) for t in lists])
-        bits = np.zeros((len(rows), len(known) // 64 + 1), np.uint64)
-        np.bitwise_or.at(bits, (doc, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
-        a = np.array([place[p[0]] for p in pairs])
-        b = np.array([place[p[1]] for p in pairs])
-        chunk = max(1, (1 << 21) // bits.shape[1])
-        for k in range(0, len(a), chunk):
-            x, y = a[k : k + chunk], b[k : k + chunk]
-            both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
-            ok = 100 * both >= PERCENT * (size[x] + size[y] - both)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in x[ok]], pa.int64()), pa.array([rows[i] for i in y[ok]], pa.int64())], ["a", "b"])
-
+    """Links among the pairs of a task's cells."""
+    sets: dict[str, dict[int, tuple[int, bytes]]] = {}
+    pairs: dict[str, list[tuple[int, int]]] = {}
     for batch in batches:
         for cell, a, b, size, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-            if cell != now:
-                yield from links()
-                now, sets, pairs = cell, {}, []
             if tokens is not None:
-                sets[a] = (size, tokens)
+                sets.setdefault(cell, {})[a] = (size, tokens)
             else:
-                pairs.append((a, b))
-    yield from links()
+                pairs.setdefault(cell, []).append((a, b))
+    for cell in list(pairs):
+        yield from _links(sets.pop(cell), pairs.pop(cell))
+
+
+def _links(sets: dict[int, tuple[int, bytes]], pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """By bitmaps over the cell's shingles: a pair's common ones are the bits that both have."""
+    rows = list(sets)
+    place = {r: i for i, r in enumerate(rows)}
+    size = np.array([sets[r][0] for r in rows], np.int64)
+    lists = [np.frombuffer(sets[r][1], np.uint64) for r in rows]
+    known, code = np.unique(np.concatenate(lists), return_inverse=True)
+    doc = np.repeat(np.arange(len(rows)), [len(t) for t in lists])
+    bits = np.zeros((len(rows), len(known) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (doc, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    a = np.array([place[p[0]] for p in pairs])
+    b = np.array([place[p[1]] for p in pairs])
+    chunk = max(1, (1 << 20) // bits.shape[1])
+    for k in range(0, len(a), chunk):
+        x, y = a[k : k + chunk], b[k : k + chunk]
+        both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+        ok = 100 * both >= PERCENT * (size[x] + size[y] - both)
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in x[ok]], pa.int64()), pa.array([rows[i] for i in y[ok]], pa.int64())], ["a", "b"])
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -349,8 +413,7 @@ def links(sets: DataFrame) -> DataFrame:
     spread = sent.join(side, "lead", "left").withColumn("side", one).withColumn("own", part("row")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
     where = spread.select(cell(F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("row").alias("row_id")).distinct()
     given = where.join(sets.select("row_id", "size", "tokens"), "row_id").select("cell", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "size", "tokens")
-    both = given.unionByName(asked).repartition("cell").sortWithinPartitions("cell", F.col("tokens").isNull())
-    return both.mapInArrow(_check, "a long, b long")
+    return given.unionByName(asked).repartition("cell").mapInArrow(_check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,7 +443,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row), members, least_id. Empty sets have no class."""
     kind = dict(docs.dtypes)[id_col]
     rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("row_id", "id", "text")
-    signed = written(rows.mapInArrow(signatures, f"row_id long, id {kind}, size int, sig binary"), "signatures")
+    with smaller_batches(docs.sparkSession):
+        signed = written(rows.mapInArrow(signatures, f"row_id long, id {kind}, size int, sig binary"), "signatures")
     groups = written(signed.where("size > 0").groupBy("sig").agg(F.min("row_id").alias("rep"), F.count("*").alias("members"), F.min("id").alias("least_id")), "classes")
     return attach_groups(signed.withColumn("sig", F.when(F.col("size") > 0, F.col("sig"))), groups, "sig", "members").drop("sig")
 
@@ -395,13 +459,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = without_rows(rows, skipped, "row_id").select("row_id", "text")
     log_ranges = _ranges(rows)
     sent = own.mapInArrow(_send(log_ranges), "range int, block long, tokens binary, numbers binary")
-    # a range is sorted into one place; the rows about blocks spread over all
+    # a range's rows meet in one task; the rows about blocks spread over all
     place = F.when(F.col("range") < 0, F.xxhash64("block")).otherwise(F.col("range").cast("long"))
-    sorted_ranges = sent.repartition(min(1 << log_ranges, 4096), place).sortWithinPartitions("range")
-    answered = written(sorted_ranges.mapInArrow(_answer, "block long, members boolean, entries binary"), "answers")
-    members = answered.where("members").select("block", F.col("entries").alias("members"))
-    blobs = answered.where("not members").groupBy("block").agg(F.collect_list("entries").alias("blobs"))
-    sets = written(members.join(blobs, "block").select("block", "members", "blobs").mapInArrow(_reduce, "row_id long, size int, prefix int, scan double, tokens binary"), "sets")
+    tasks = max((RANGE_BYTES << log_ranges) // TASK_BYTES, 4)
+    answered = sent.repartition(tasks, place).mapInArrow(_answer, "block long, members boolean, entries binary")
+    with smaller_batches(docs.sparkSession):
+        sets = written(answered.repartition(tasks, "block").mapInArrow(_reduce, "row_id long, size int, prefix int, df long, tokens binary"), "sets")
     found = written(links(sets), "links")
     reps = classed.where("row_id = rep").select("rep", "members", "least_id")
     both = found.union(found.select("b", "a"))
