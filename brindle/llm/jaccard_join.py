@@ -164,8 +164,9 @@ def _shared(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatc
         keep = shared[k] == t
         if keep.any():
             docs = np.frombuffer(numbers, np.uint16)[keep]
-            df = np.minimum(count[k[keep]], 0xFFFFFFFF).astype(np.uint32)
-            out.append((block, t[keep].tobytes() + df.tobytes() + docs.tobytes()))
+            df = np.minimum(count[k[keep]], 0xFFFF).astype(np.uint16)
+            low = np.ascontiguousarray(t[keep].view(np.uint8).reshape(-1, 8)[:, : BITS // 8])
+            out.append((block, np.uint32(r).tobytes() + low.tobytes() + df.tobytes() + docs.tobytes()))
     for k in range(0, len(out), 64):
         yield _answers(out[k : k + 64])
 
@@ -195,7 +196,7 @@ def _need(size: np.ndarray) -> np.ndarray:
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of a task: the sets that can have partners, with their shared shingles in global
-    order, how many of these are in the prefix, and the largest frequency among those."""
+    order, how many of these are in the prefix, and the largest frequency (up to 65,535) among those."""
     known: dict[int, bytes] = {}
     entries: dict[int, list[bytes]] = {}
     for batch in batches:
@@ -212,10 +213,13 @@ def _sets_of(members: bytes, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     row, size = np.frombuffer(members, np.int64).reshape(2, -1)
     token, df, doc = [], [], []
     for raw in blobs:
-        n = len(raw) // 14
-        token.append(np.frombuffer(raw, np.uint64, n))
-        df.append(np.frombuffer(raw, np.uint32, n, 8 * n))
-        doc.append(np.frombuffer(raw, np.uint16, n, 12 * n))
+        high = int(np.frombuffer(raw, np.uint32, 1)[0])
+        n = (len(raw) - 4) // (BITS // 8 + 4)
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, : BITS // 8] = np.frombuffer(raw, np.uint8, n * BITS // 8, 4).reshape(n, -1)
+        token.append(whole.view(np.uint64).ravel() | np.uint64(high) << np.uint64(BITS))
+        df.append(np.frombuffer(raw, np.uint16, n, 4 + n * BITS // 8))
+        doc.append(np.frombuffer(raw, np.uint16, n, 4 + n * BITS // 8 + 2 * n))
     token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
     count = np.bincount(doc, minlength=len(row))
     alive = (size > 1) & (count >= _need(size))
@@ -258,37 +262,42 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(boundary: int):
-    """(key, row_id, size, heavy): pairs of the prefix for light sets, single shingles for heavy ones
-    and for light ones that a heavy one may be similar to."""
+    """(key, row_id, size, left, heavy): pairs of the prefix for light sets, single shingles for heavy
+    ones and for light ones that a heavy one may be similar to. left: shared shingles after the key's
+    first one in the global order."""
     near = (PERCENT * boundary) // 100
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, sizes, heavy, total = [], [], [], [], 0
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            total = 0
             for row, size, m, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4))):
                 t = np.frombuffer(raw, np.uint64)
-                parts = []
+                keys, after = [], []
+                left = np.arange(len(t) - 1, -1, -1, dtype=np.int32)
                 if size <= boundary:
-                    parts.append(_subsets(t[: m + SUBSET - 1]))
+                    p = t[: m + SUBSET - 1]
+                    keys.append(_subsets(p))
+                    after.append(left[np.triu_indices(len(p), 1)[0]])
                 if size > boundary or size >= near:
-                    parts.append(_singles(t[:m]))
-                key = np.concatenate(parts)
-                keys.append(key)
-                rows.append(np.full(len(key), row))
-                sizes.append(np.full(len(key), size, np.int32))
-                heavy.append(np.full(len(key), size > boundary))
+                    keys.append(_singles(t[:m]))
+                    after.append(left[:m])
+                key = np.concatenate(keys)
+                for column, values in zip(columns, (key, np.full(len(key), row), np.full(len(key), size, np.int32), np.concatenate(after), np.full(len(key), size > boundary))):
+                    column.append(values)
                 total += len(key)
                 if total > 200_000:
-                    yield _entries(keys, rows, sizes, heavy)
-                    keys, rows, sizes, heavy, total = [], [], [], [], 0
-            if keys:
-                yield _entries(keys, rows, sizes, heavy)
+                    yield _entries(columns)
+                    columns, total = [[], [], [], [], []], 0
+            if total:
+                yield _entries(columns)
 
     return work
 
 
-def _entries(keys, rows, sizes, heavy) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(heavy))], ["key", "row_id", "size", "heavy"])
+def _entries(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    key, *rest = map(np.concatenate, columns)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(key)), *map(pa.array, rest)], ["key", "row_id", "size", "left", "heavy"])
 
 
 def _sizes(size: Column) -> Column:
@@ -299,7 +308,8 @@ def _sizes(size: Column) -> Column:
 def _met(keys: DataFrame) -> list:
     """By step: keys, and the pairs of entries that meet under one key when all sets up to the step
     take part and did not before."""
-    per = keys.groupBy("key", "step").agg(F.count("*").alias("n"))
+    # hashed by key alone, which serves both the counts and the window
+    per = keys.repartition("key").groupBy("key", "step").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("step"))
     more = (F.col("upto") * F.col("upto") - (F.col("upto") - F.col("n")) * (F.col("upto") - F.col("n"))).cast("double") / 2
     return per.withColumn("upto", upto).groupBy("step").agg(F.sum("n").alias("keys"), F.sum(more).alias("pairs")).collect()
@@ -386,13 +396,16 @@ def _links(sets: dict[int, tuple[int, bytes]], pairs: list[tuple[int, int]]) ->
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each pair of sets that share a key, once."""
-    keys = sets.mapInArrow(_keys(_boundary(sets)), "key long, row_id long, size int, heavy boolean")
+    """(a, b), a < b: each pair of sets that share a key after which enough shingles are left, once.
+    The first key that a similar pair shares is followed by all else that it has in common, so it
+    passes; later keys need not."""
+    keys = sets.mapInArrow(_keys(_boundary(sets)), "key long, row_id long, size int, left int, heavy boolean")
     keys = written(keys, "keys")
     x, y = keys.alias("x"), keys.alias("y")
     low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id"))
-    fit = (low * 100 >= high * PERCENT) & (((F.col("x.key") % 2) != 0) | F.col("x.heavy") | F.col("y.heavy"))
+    reach = F.least("x.left", "y.left") + 1
+    fit = (low * 100 >= high * PERCENT) & (reach * (100 + PERCENT) >= (low + high) * PERCENT) & (((F.col("x.key") % 2) != 0) | F.col("x.heavy") | F.col("y.heavy"))
     return x.join(y, same & fit).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
 
 
@@ -417,18 +430,32 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component. Each round takes the least
-    label around a node, then the label of that label, so that labels run along paths by doubling."""
-    every = written(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a"))), "edges")
-    labels = written(every.groupBy("node").agg(F.min("to").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
-    while True:
-        around = every.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("least"))
-        near = written(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label")), "near")
-        jump = near.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = written(near.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        if labels.where("label < old").limit(1).count() == 0:
-            return labels.drop("old")
-        labels = labels.drop("old")
+    """(node, label): the smallest node of each connected component. Each round points every node to
+    its least neighbour or itself, follows the pointers to their ends by doubling, and contracts the
+    edges; what is left of a near-clique after one round is a point."""
+    rounds = []
+    left = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    while left.limit(1).count():
+        ends = left.union(left.select("y", "x")).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least"))
+        point = written(ends.select("node", F.least("node", "least").alias("label")), "pointers")
+        while True:
+            further = point.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            point = written(point.join(further, "label").select("node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "pointers")
+            moved = point.where("moved").limit(1).count()
+            point = point.drop("moved")
+            if not moved:
+                break
+        rounds.append(point)
+        x, y = point.select(F.col("node").alias("x"), F.col("label").alias("px")), point.select(F.col("node").alias("y"), F.col("label").alias("py"))
+        over = left.join(x, "x").join(y, "y").where("px != py")
+        left = written(over.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "contracted")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    labels = rounds[0]
+    for point in rounds[1:]:
+        further = point.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = labels.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return labels
 
 
 def _ranges(rows: DataFrame) -> int:
