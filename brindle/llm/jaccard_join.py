@@ -5,7 +5,7 @@
 2. Every shingle's document frequency is counted exactly. Blocks of documents send their shingles,
    sorted and packed, to ranges of the hash space; a range answers each block with the shingles that
    other sets have too. Shingles of one set only can't be shared and never travel again.
-3. Under the order (frequency, hash) two sets of Jaccard >= t share a shingle among the first
+3. Under the order (frequency in steps of an eighth of its log2, hash) two sets of Jaccard >= t share a shingle among the first
    s - ceil(t s) + 1 of each, and two shingles among one more. Sets in which those are all of their
    own drop out here. Small ("light") sets are keyed by all fixed-size subsets (pairs) of that
    prefix; large ("heavy") sets scan inverted lists of single shingles. The boundary is the set size
@@ -48,8 +48,8 @@ TASK_BYTES = 16 << 20
 #: Bits of a fingerprint within its range.
 BITS = 40
 
-#: One in so many subset keys is looked at to estimate what they cost.
-PROBES = 64
+#: One in so many subset keys, and lists, is looked at to estimate what they cost.
+PROBES, LISTS = 64, 8
 
 #: Sets in a cell of the check.
 CELL = 500
@@ -164,7 +164,7 @@ def _shared(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatc
         keep = shared[k] == t
         if keep.any():
             docs = np.frombuffer(numbers, np.uint16)[keep]
-            df = np.minimum(count[k[keep]], 0xFFFF).astype(np.uint16)
+            df = np.minimum(np.log2(count[k[keep]]) * 8, 255).astype(np.uint8)
             low = np.ascontiguousarray(t[keep].view(np.uint8).reshape(-1, 8)[:, : BITS // 8])
             out.append((block, np.uint32(r).tobytes() + low.tobytes() + df.tobytes() + docs.tobytes()))
     for k in range(0, len(out), 64):
@@ -196,7 +196,7 @@ def _need(size: np.ndarray) -> np.ndarray:
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of a task: the sets that can have partners, with their shared shingles in global
-    order, how many of these are in the prefix, and the largest frequency (up to 65,535) among those."""
+    order, how many of these are in the prefix, and the largest frequency (eight times its log2) among those."""
     known: dict[int, bytes] = {}
     entries: dict[int, list[bytes]] = {}
     for batch in batches:
@@ -214,12 +214,12 @@ def _sets_of(members: bytes, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     token, df, doc = [], [], []
     for raw in blobs:
         high = int(np.frombuffer(raw, np.uint32, 1)[0])
-        n = (len(raw) - 4) // (BITS // 8 + 4)
+        n = (len(raw) - 4) // (BITS // 8 + 3)
         whole = np.zeros((n, 8), np.uint8)
         whole[:, : BITS // 8] = np.frombuffer(raw, np.uint8, n * BITS // 8, 4).reshape(n, -1)
         token.append(whole.view(np.uint64).ravel() | np.uint64(high) << np.uint64(BITS))
-        df.append(np.frombuffer(raw, np.uint16, n, 4 + n * BITS // 8))
-        doc.append(np.frombuffer(raw, np.uint16, n, 4 + n * BITS // 8 + 2 * n))
+        df.append(np.frombuffer(raw, np.uint8, n, 4 + n * BITS // 8))
+        doc.append(np.frombuffer(raw, np.uint16, n, 4 + n * BITS // 8 + n))
     token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
     count = np.bincount(doc, minlength=len(row))
     alive = (size > 1) & (count >= _need(size))
@@ -255,8 +255,10 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, steps = [], []
         for m, raw, step in zip(*(batch.column(k).to_pylist() for k in (2, 4, 5))):
-            keys.append(_singles(np.frombuffer(raw, np.uint64, m)))
-            steps.append(np.full(m, step, np.int32))
+            key = _singles(np.frombuffer(raw, np.uint64, m))
+            key = key[(key >> np.uint64(1)) % np.uint64(LISTS) == np.uint64(0)]
+            keys.append(key)
+            steps.append(np.full(len(key), step, np.int32))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(steps))], ["key", "step"])
 
@@ -264,12 +266,12 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(boundary: int):
     """(key, row_id, size, left, heavy): pairs of the prefix for light sets, single shingles for heavy
     ones and for light ones that a heavy one may be similar to. left: shared shingles after the key's
-    first one in the global order."""
+    first one in the global order. last: a heavy set's key before this one, else 0."""
     near = (PERCENT * boundary) // 100
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             total = 0
             for row, size, m, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4))):
                 t = np.frombuffer(raw, np.uint64)
@@ -283,12 +285,16 @@ def _keys(boundary: int):
                     keys.append(_singles(t[:m]))
                     after.append(left[:m])
                 key = np.concatenate(keys)
-                for column, values in zip(columns, (key, np.full(len(key), row), np.full(len(key), size, np.int32), np.concatenate(after), np.full(len(key), size > boundary))):
+                last = np.zeros(len(key), np.int64)
+                if size > boundary:
+                    # heavy sets have single keys only, in the global order
+                    last[1:] = _signed(key)[:-1]
+                for column, values in zip(columns, (key, np.full(len(key), row), np.full(len(key), size, np.int32), np.concatenate(after), np.full(len(key), size > boundary), last)):
                     column.append(values)
                 total += len(key)
                 if total > 200_000:
                     yield _entries(columns)
-                    columns, total = [[], [], [], [], []], 0
+                    columns, total = [[] for _ in range(6)], 0
             if total:
                 yield _entries(columns)
 
@@ -297,7 +303,7 @@ def _keys(boundary: int):
 
 def _entries(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
     key, *rest = map(np.concatenate, columns)
-    return pa.RecordBatch.from_arrays([pa.array(_signed(key)), *map(pa.array, rest)], ["key", "row_id", "size", "left", "heavy"])
+    return pa.RecordBatch.from_arrays([pa.array(_signed(key)), *map(pa.array, rest)], ["key", "row_id", "size", "left", "heavy", "last"])
 
 
 def _sizes(size: Column) -> Column:
@@ -332,13 +338,14 @@ def _sampled(steps: int):
 
 def _boundary(sets: DataFrame) -> int:
     """The set size up to which keying by subsets costs less than scanning lists. A cost is a row per
-    key and per pair of entries that meet under one: counted for lists, and for subsets estimated
-    from one in PROBES keys, over the sizes whose subsets are not already too many."""
+    key and per pair of entries that meet under one: estimated from one in LISTS lists, and from one in
+    PROBES subset keys over the sizes whose subsets are not already too many. The boundary moves work
+    only; any gives the same links."""
     stepped = sets.withColumn("step", _sizes(F.col("size")))
     m = F.col("prefix").cast("double")
     rows = stepped.groupBy("step").agg(F.max("size").alias("top"), F.sum(m * (m + 1) / 2).alias("subsets")).orderBy("step").collect()
     lists = {r.step: r for r in _met(stepped.mapInArrow(_single, "key long, step int"))}
-    total = sum(r.pairs for r in lists.values())
+    total = LISTS * sum(r.pairs for r in lists.values())
     count, last = 0.0, None
     for r in rows:
         count += r.subsets
@@ -354,7 +361,7 @@ def _boundary(sets: DataFrame) -> int:
             break
         cost += 2 * r.subsets
         cost += PROBES * subsets[r.step].pairs if r.step in subsets else 0
-        cost -= lists[r.step].pairs if r.step in lists else 0
+        cost -= LISTS * lists[r.step].pairs if r.step in lists else 0
         if cost < best:
             best, at = cost, r.top
     return at
@@ -362,8 +369,8 @@ def _boundary(sets: DataFrame) -> int:
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among the pairs of a task's cells."""
-    sets: dict[str, dict[int, tuple[int, bytes]]] = {}
-    pairs: dict[str, list[tuple[int, int]]] = {}
+    sets: dict[int, dict[int, tuple[int, bytes]]] = {}
+    pairs: dict[int, list[tuple[int, int]]] = {}
     for batch in batches:
         for cell, a, b, size, tokens in zip(*(c.to_pylist() for c in batch.columns)):
             if tokens is not None:
@@ -374,12 +381,35 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _links(sets.pop(cell), pairs.pop(cell))
 
 
+def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens as their lowest 6 bytes if that is all they have (a leading byte tells), in their order of
+    value."""
+    for batch in batches:
+        out = []
+        for raw in batch.column(2).to_pylist():
+            t = np.sort(np.frombuffer(raw, np.uint64))
+            if len(t) and int(t[-1]) >> 48:
+                out.append(b"w" + t.tobytes())
+            else:
+                out.append(b"s" + np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row_id", "size", "tokens"])
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"w":
+        return np.frombuffer(raw, np.uint64, offset=1)
+    narrow = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 6)
+    whole = np.zeros((len(narrow), 8), np.uint8)
+    whole[:, :6] = narrow
+    return whole.view(np.uint64).ravel()
+
+
 def _links(sets: dict[int, tuple[int, bytes]], pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     """By bitmaps over the cell's shingles: a pair's common ones are the bits that both have."""
     rows = list(sets)
     place = {r: i for i, r in enumerate(rows)}
     size = np.array([sets[r][0] for r in rows], np.int64)
-    lists = [np.frombuffer(sets[r][1], np.uint64) for r in rows]
+    lists = [_wide(sets[r][1]) for r in rows]
     known, code = np.unique(np.concatenate(lists), return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), [len(t) for t in lists])
     bits = np.zeros((len(rows), len(known) // 64 + 1), np.uint64)
@@ -396,36 +426,38 @@ def _links(sets: dict[int, tuple[int, bytes]], pairs: list[tuple[int, int]]) ->
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each pair of sets that share a key after which enough shingles are left, once.
-    The first key that a similar pair shares is followed by all else that it has in common, so it
-    passes; later keys need not."""
-    keys = sets.mapInArrow(_keys(_boundary(sets)), "key long, row_id long, size int, left int, heavy boolean")
+    """(a, b), a < b: each pair of sets that share a key after which enough shingles are left, in one
+    partition by b. The first key that a similar pair shares is followed by all else that it has in
+    common, so it passes; later keys need not. Where the keys before are the same too, the pair has
+    met there already."""
+    keys = sets.mapInArrow(_keys(_boundary(sets)), "key long, row_id long, size int, left int, heavy boolean, last long")
     keys = written(keys, "keys")
     x, y = keys.alias("x"), keys.alias("y")
     low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id"))
     reach = F.least("x.left", "y.left") + 1
     fit = (low * 100 >= high * PERCENT) & (reach * (100 + PERCENT) >= (low + high) * PERCENT) & (((F.col("x.key") % 2) != 0) | F.col("x.heavy") | F.col("y.heavy"))
-    return x.join(y, same & fit).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+    new = (F.col("x.last") == 0) | (F.col("x.last") != F.col("y.last"))
+    met = x.join(y, same & fit & new).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
+    return met.repartition("b").distinct()
 
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: each similar pair of sets, once."""
-    pairs = written(candidates(sets), "pairs")
-    lead = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
     # pairs meet where the first partner of their second set is
-    placed = written(pairs.join(lead.withColumnRenamed("a", "b"), "b").select("a", "b", "lead"), "placed")
+    placed = written(candidates(sets).withColumn("lead", F.min("a").over(Window.partitionBy("b"))), "placed")
     sent = placed.select("lead", F.col("a").alias("row")).union(placed.select("lead", F.col("b").alias("row"))).distinct()
     sent = written(sent, "sent")
     side = sent.groupBy("lead").agg(F.ceil(F.count("*") / CELL).cast("long").alias("side")).where("side > 1")
     part = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
     one = F.coalesce("side", F.lit(1).cast("long"))
-    cell = lambda i, j: F.concat_ws(":", "lead", i, j)
+    # cells that share a number would only be checked together
+    cell = lambda i, j: F.xxhash64("lead", i, j)
     wide = placed.join(side, "lead", "left").withColumn("side", one)
     asked = wide.select(cell(F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("cell"), "a", "b", F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("tokens"))
     spread = sent.join(side, "lead", "left").withColumn("side", one).withColumn("own", part("row")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
     where = spread.select(cell(F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("row").alias("row_id")).distinct()
-    given = where.join(sets.select("row_id", "size", "tokens"), "row_id").select("cell", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "size", "tokens")
+    given = where.join(sets.select("row_id", "size", "tokens").mapInArrow(_slim, "row_id long, size int, tokens binary"), "row_id").select("cell", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "size", "tokens")
     return given.unionByName(asked).repartition("cell").mapInArrow(_check, "a long, b long")
 
 
