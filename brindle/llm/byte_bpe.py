@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from brindle.llm.common import documents
 
@@ -323,7 +324,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pa
             got = [None if x is None else bpe.decode(x) for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, out_col])
 
-    schema = tokens.schema.add(out_col, "binary")
+    schema = StructType([*tokens.schema.fields, StructField(out_col, BinaryType())])
     return tokens.mapInArrow(work, schema)
 
 
