@@ -149,7 +149,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
         # d loss / d z: sigmoid(z) for clean documents, -sigmoid(z) * (1 - p) / p for toxic ones
         slope = np.where(y > 0, -(1 - p) / p, 1.0) * share
         each = slope[sentence_doc] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.bincount(feature, weights=each[sentence], minlength=len(theta))
+        grad = np.bincount(feature, weights=each[sentence], minlength=len(theta)).astype(float)
         grad[:-1] += DECAY * theta[:-1] / len(y)
         grad[0], grad[-1] = 0.0, each.sum()
         m = 0.9 * m + 0.1 * grad
