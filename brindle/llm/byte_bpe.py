@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from brindle.llm.common import documents
+from brindle.llm.common import documents, remembers, take_up
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 #: Pieces of one generation whose tokens a worker remembers; this bounds memory only.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 #: Prefixes whose last tokens a worker remembers before it starts afresh; pieces beyond LONG bytes
 #: are worked out by position instead.
-PREFIXES, LONG = 500_000, 64
+PREFIXES, LONG = 250_000, 64
 
 #: Rows of one output batch and bytes of text in it; a longer text is a batch of its own.
 OUT_ROWS, OUT_BYTES = 512, 1 << 22
@@ -276,6 +276,9 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(ranks, pattern)
 
 
+remembers("byte_bpe", tokenizer.cache_clear)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most OUT_ROWS rows and OUT_BYTES bytes of the text column."""
     for batch in batches:
@@ -298,6 +301,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_up("byte_bpe")
         tok = tokenizer(path, pattern)
         for batch in small_batches(batches, 1):
             ids = [np.frombuffer(tok.packed(t) if t else b"", np.int32) for t in batch.column(1).to_pylist()]

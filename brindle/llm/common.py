@@ -4,8 +4,10 @@ skew-proof attachment of group facts, and removal of rows without moving texts w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_busy_with = [""]
+
+
+def remembers(work: str, forget: Callable[[], None]) -> None:
+    """Says how workers forget what they keep from task to task for some kind of work."""
+    _caches[work] = forget
+
+
+def take_up(work: str) -> None:
+    """Called at the start of a task in a Python worker, which Spark uses again for other operators:
+    what another kind of work remembered is dropped and given back to the system."""
+    if _busy_with[0] == work:
+        return
+    _busy_with[0] = work
+    for name, forget in _caches.items():
+        if name != work:
+            forget()
+    gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def smaller_batches(spark: SparkSession, size: str = "12m") -> Iterator[None]:
     """Texts reach Python in smaller batches while this holds, which is for jobs that run inside."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, table, with_row_id, without_rows, written
+from brindle.llm.common import documents, table, take_up, with_row_id, without_rows, written
 
 #: Words of a phrase.
 WINDOW = 10
@@ -248,6 +248,7 @@ class _Shard:
 
 
 def _scan(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_up("decontamination")
     for batch in batches:
         data, offsets = bytewords.text_buffers(batch.column(2))
         n_docs = batch.num_rows

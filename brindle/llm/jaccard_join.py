@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import attach_groups, documents, smaller_batches, with_row_id, without_rows, written
+from brindle.llm.common import attach_groups, documents, smaller_batches, take_up, with_row_id, without_rows, written
 
 SHINGLE = 3
 
@@ -85,6 +85,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_up("signatures")
     for batch in batches:
         sizes, sigs = [], []
         for s in _sets(batch.column(2)):
@@ -123,6 +124,7 @@ def _send(log_ranges: int):
     row with range -1 that has the row_ids and set sizes of the block's documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_up("sets")
         for block in _blocks(batches):
             sets = list(_sets(block.column(1)))
             first = block.column(0)[0].as_py()
@@ -178,6 +180,7 @@ def _answers(rows: list[tuple[int, bytes]], members: bool = False) -> pa.RecordB
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of a task's ranges; the rows about blocks' documents pass through."""
+    take_up("answers")
     rows = []
     for batch in batches:
         for r, block, tokens, numbers in zip(*(c.to_pylist() for c in batch.columns)):
@@ -369,6 +372,7 @@ def _boundary(sets: DataFrame) -> int:
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among the pairs of a task's cells."""
+    take_up("links")
     sets: dict[int, dict[int, tuple[int, bytes]]] = {}
     pairs: dict[int, list[tuple[int, int]]] = {}
     for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.byte_bpe import small_batches
-from brindle.llm.common import documents
+from brindle.llm.common import documents, remembers, take_up
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -134,12 +134,16 @@ def counter(path: str) -> Counter:
         return Counter(json.load(f))
 
 
+remembers("token_counts", counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of `docs`: its id, `n_bytes` and `n_tokens` (0 for null and empty texts)."""
     path = path or public_tokenizers.path(VOCABULARY)
     kind = dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_up("token_counts")
         count = counter(path).count
         for batch in small_batches(batches, 1):
             texts = batch.column(1)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, labelled_sample, table, with_row_id, without_rows, written
+from brindle.llm.common import documents, labelled_sample, table, take_up, with_row_id, without_rows, written
 
 #: log2 of the number of weights.
 BITS = 18
@@ -173,6 +173,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     dense = model
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_up("toxicity")
         for batch in batches:
             data, offsets = bytewords.text_buffers(batch.column(2))
             scores = np.zeros(batch.num_rows)
