@@ -1,18 +1,24 @@
 """Licence scans by Dice coefficient over word bigrams.
 
-A text's units are the whole text and, where it has more than one line, each line. A unit's words
-are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z; its bigrams are the distinct pairs of
+A text's units are the whole text and, where it has more than one line, each line and each run of
+lines. A unit's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z; its bigrams are the distinct pairs of
 neighbouring words. Dice is twice the shared bigrams over the sum of both counts. For a threshold t
 only templates whose count is between t/(2-t) and (2-t)/t of the unit's can reach it, and a unit
 must share at least t/(2-t) of the template's: units and templates beyond these bounds are pruned
 before any count of distinct bigrams is taken.
 
 A unit's licence is that of its best template (ties: the first name); it counts from the threshold
-on. Null and empty texts, and units of one word, match nothing. Repeated rows each give theirs.
+on. Whole texts and lines count whatever else matches. Runs find notices wrapped over several lines
+of a longer text; of runs that overlap, the one of the highest Dice counts (then the shortest, then
+the first), and none does where the whole text matches the same licence, or where the whole text or
+a line of the run matches at least as well. Only texts that hold enough of a template's bigrams have
+their runs looked at: from each line with such a bigram on, as far as the size bounds allow. Null and empty texts, and units of one word, match nothing. Repeated rows each give theirs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect, insort
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,11 +67,9 @@ class Templates:
         hit = self.known[k] == bigrams[at]
         return at[hit], k[hit]
 
-    def match(self, unit: np.ndarray, bigrams: np.ndarray) -> list[tuple[int, int, float]]:
-        """(unit, template, Dice) of each unit that reaches the threshold. `unit` ascends."""
+    def within_reach(self, unit: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, template, shared bigrams) where a unit shares as many as the template asks for."""
         at, number = self.lookup(bigrams)
-        if not len(at):
-            return []
         seen = np.unique(unit[at] * len(self.known) + number)
         of_unit, number = seen // len(self.known), seen % len(self.known)
         per = self.first[number + 1] - self.first[number]
@@ -73,7 +77,11 @@ class Templates:
         key, shared = np.unique(np.repeat(of_unit, per) * len(self.names) + self.of[where], return_counts=True)
         u, t = key // len(self.names), key % len(self.names)
         keep = shared >= self.least[t]
-        u, t, shared = u[keep], t[keep], shared[keep]
+        return u[keep], t[keep], shared[keep]
+
+    def match(self, unit: np.ndarray, bigrams: np.ndarray) -> list[tuple[int, int, float]]:
+        """(unit, template, Dice) of each unit that reaches the threshold. `unit` ascends."""
+        u, t, shared = self.within_reach(unit, bigrams)
         best: dict[int, tuple[float, int]] = {}
         size_of: dict[int, int] = {}
         for i, j, n in zip(u.tolist(), t.tolist(), shared.tolist()):
@@ -85,9 +93,59 @@ class Templates:
                 best[i] = (dice, j)
         return [(i, j, d) for i, (d, j) in sorted(best.items())]
 
+    def runs(self, bigrams: np.ndarray, first: np.ndarray, second: np.ndarray, among: list[int]) -> list[tuple[int, int, int, float]]:
+        """(first line, last line, template, Dice) of runs of two lines or more that don't overlap, for
+        one document's bigrams in order, the lines of their two words, and the templates in reach. A
+        run begins and ends with a line that has bigrams of its template; others only lower Dice."""
+        at, number = self.lookup(bigrams)
+        asked = set(among)
+        has = {n: [t for t in self.of[self.first[n] : self.first[n + 1]].tolist() if t in asked] for n in set(number.tolist())}
+        hits = {int(self.known[n]): ts for n, ts in has.items() if ts}
+        grams, first, second = bigrams.tolist(), first.tolist(), second.tolist()
+        starts = {first[i] for i, n in zip(at.tolist(), number.tolist()) if has[n]}
+        size = {t: int(self.sizes[t]) for t in among}
+        most = max(size.values()) * (2 - self.threshold) / self.threshold + 1e-9
+        # distinct bigrams from here on, the nearest last, with the lines of their words
+        ahead: OrderedDict[int, tuple[int, int]] = OrderedDict()
+        found: list[tuple[float, int, int, int]] = []
+        for i in range(len(grams) - 1, -1, -1):
+            ahead[grams[i]] = first[i], second[i]
+            ahead.move_to_end(grams[i])
+            a = first[i]
+            if a not in starts or (i and first[i - 1] == a):
+                continue
+            n, end, shared, fresh, begun = 0, a, dict.fromkeys(among, 0), set(), set()
+
+            def close() -> None:
+                if end > a:
+                    dice = {t: 2 * shared[t] / (n + size[t]) for t in fresh & begun}
+                    found.extend((-d, end - a, a, t) for t, d in dice.items() if d >= self.threshold)
+
+            for gram, (begins, line) in reversed(ahead.items()):
+                if line != end:
+                    close()
+                    end = line
+                    fresh = set()
+                n += 1
+                if n > most:
+                    break
+                for t in hits.get(gram, ()):
+                    shared[t] += 1
+                    fresh.add(t)
+                    if begins == a:
+                        begun.add(t)
+            else:
+                close()
+        taken: list[tuple[int, int, int, float]] = []
+        for d, more, a, t in sorted(found):
+            k = bisect(taken, (a, a + more, len(self.names), 0.0))
+            if (not k or taken[k - 1][1] < a) and (k == len(taken) or taken[k][0] > a + more):
+                insort(taken, (a, a + more, t, -d))
+        return taken
+
 
 def _scan(templates: Templates, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("line", pa.int64()), ("license", pa.string()), ("dice", pa.float64())]))
+    kind = pa.list_(pa.struct([("line", pa.int64()), ("last", pa.int64()), ("license", pa.string()), ("dice", pa.float64())]))
     for batch in batches:
         data, offsets = bytewords.text_buffers(batch.column(2))
         found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -116,17 +174,31 @@ def _scan(templates: Templates, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                         if b == a or int(breaks[b - 1]) == before:
                             continue  # the only line is the whole text
                         number = int(line[first]) - before + 1
-                    found[w.lo + d].append({"line": number, "license": templates.names[t], "dice": dice})
+                    found[w.lo + d].append({"line": number, "last": number, "license": templates.names[t], "dice": dice})
+            among: dict[int, list[int]] = {}
+            for d, t in zip(*(x.tolist() for x in templates.within_reach(doc[1:][inside], bigrams[inside])[:2])):
+                among.setdefault(d, []).append(t)
+            for d, near in among.items():
+                i, j = int(w.bounds[d]), int(w.bounds[d + 1]) - 1
+                if line[i] == line[j]:
+                    continue
+                mine = found[w.lo + d]
+                of_text, of_line = [m for m in mine if not m["line"]], [m for m in mine if m["line"]]
+                before = int(breaks[w.offsets[d] - 1]) if w.offsets[d] else 0
+                for a, b, t, dice in templates.runs(bigrams[i:j], line[i:j] - before + 1, line[i + 1 : j + 1] - before + 1, near):
+                    name = templates.names[t]
+                    if not any(m["license"] == name or m["dice"] >= dice for m in of_text) and not any(a <= m["line"] <= b and m["dice"] >= dice for m in of_line):
+                        mine.append({"line": a, "last": b, "license": name, "dice": dice})
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["row_id", "id", "matches"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of `docs`: row_id, its id and matches (line, 0 for the whole text, else from
-    1; license; dice), empty where there are none."""
+    """One row per row of `docs`: row_id, its id and matches (line and last, the unit's first and
+    last line from 1, both 0 for the whole text; license; dice), empty where there are none."""
     kind = dict(docs.dtypes)[id_col]
     known = Templates(templates, threshold)
     rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("row_id", "id", "text")
-    schema = f"row_id long, id {kind}, matches array<struct<line:long,license:string,dice:double>>"
+    schema = f"row_id long, id {kind}, matches array<struct<line:long,last:long,license:string,dice:double>>"
     return rows.mapInArrow(lambda batches: _scan(known, batches), schema).withColumnRenamed("id", id_col)
 
 

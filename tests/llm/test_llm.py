@@ -90,6 +90,58 @@ def test_license_scan(scan):
     assert license_scan.scan(scan([])).count() == 0
 
 
+def test_license_wrapped_within_a_longer_text(scan):
+    rng = random.Random(11)
+    mit, apache = (next(t for n, t in TEMPLATES if n == name) for name in ("MIT", "Apache-2.0"))
+    prose_ = "\n".join(prose(rng, 12) for _ in range(60))
+    commented = "\n".join(" * " + x for x in apache.split("\n"))
+    texts = [f"{prose_}\n{mit}\n{prose_}", f"{prose_}\n/*\n{commented}\n */\n{prose_}\n\n{mit}\n", "code\nReleased under\nthe MIT License.\n" + prose_, prose_, f"{prose_}\n" + "\n".join(mit.split("\n")[:4])]
+    got = {r.doc_id: [(m.line, m.last, m.license, round(m.dice, 2)) for m in r.matches] for r in license_scan.scan(scan(texts)).collect()}
+    assert got[0] == [(61, 60 + len(mit.split("\n")), "MIT", 1.0)]
+    a = 62 + len(apache.split("\n"))
+    assert [m for m in got[1] if m[0] != m[1]] == [(62, a - 1, "Apache-2.0", 1.0), (a + 62, a + 61 + len(mit.split("\n")), "MIT", 1.0)]
+    assert got[2] == [(2, 3, "MIT", 1.0)] and got[3] == got[4] == []
+
+
+def test_license_runs_against_brute_force():
+    rng = random.Random(3)
+    known = license_scan.Templates(threshold=0.7)
+
+    def grams(lines):
+        w = [(x, i) for i, line in enumerate(lines) for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower())]
+        return [((x, y), i, j) for (x, i), (y, j) in zip(w, w[1:])]
+
+    templates = sorted(TEMPLATES, key=lambda t: t[0])
+    sets = [{g for g, *_ in grams([t])} for _, t in templates]
+    for _ in range(25):
+        words = prose(rng, 25).split()
+        for _, body in rng.sample(templates, 3):
+            words += [w for w in body.split() if rng.random() > 0.05] + prose(rng, rng.randrange(15)).split()
+        lines = []
+        while words:
+            k = rng.randrange(1, 25)
+            lines.append(" ".join(words[:k]))
+            words = words[k:]
+        placed, every = grams(lines), []
+        for a, b in itertools.combinations(range(len(lines)), 2):
+            inside = [(g, i, j) for g, i, j in placed if a <= i and j <= b]
+            own = {g for g, *_ in inside}
+            for t, s in enumerate(sets):
+                if any(g in s and i == a for g, i, _ in inside) and own & s > {g for g, _, j in inside if j < b} & s:
+                    every.append((-2 * len(own & s) / (len(own) + len(s)), b - a, a, t))
+        want = []
+        for d, more, a, t in sorted(e for e in every if -e[0] >= 0.7):
+            if all(a + more < x or y < a for x, y, *_ in want):
+                want.append((a, a + more, t, round(-d, 9)))
+        raw = np.frombuffer("\n".join(lines).encode(), np.uint8)
+        w = next(bytewords.words(raw, np.array([0, len(raw)]), bytewords.ALNUM))
+        line = np.cumsum(raw == 10)[w.start]
+        bigrams = license_scan._bigrams(w.hash)
+        near = known.within_reach(np.zeros(len(bigrams), np.int64), bigrams)[1].tolist()
+        got = known.runs(bigrams, line[:-1], line[1:], near) if near else []
+        assert [(a, b, t, round(d, 9)) for a, b, t, d in got] == sorted(want)
+
+
 def test_license_pruning_loses_nothing():
     rng = random.Random(5)
     known = license_scan.Templates(threshold=0.6)
