@@ -68,11 +68,23 @@ def smaller_batches(spark: SparkSession, size: str = "12m") -> Iterator[None]:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A number for each row, so that repeated rows, null ids and equal ids stay apart. The same
-    files give the same numbers each time they are scanned; other inputs should be `written` first."""
+    """A number for each row, so that repeated rows, null ids and equal ids stay apart. The numbers
+    hold for one scan: how files are cut into tasks follows the cores that are registered at that
+    moment. What several scans must agree on has to be `numbered`."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """`df` with a number for each row, written once, so that every scan finds the same numbers."""
+    return written(with_row_id(df, name), "numbered", compression="zstd")
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
+    """row_id, id and text. `row` names the column of numbers that `docs` has, if it is `numbered`."""
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row).alias("row_id")] if row else []))
+    return (picked if row else with_row_id(picked)).select("row_id", "id", "text")
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """`rows` left-joined to one row per key of `groups`.
 

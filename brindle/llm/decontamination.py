@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, table, take_up, with_row_id, without_rows, written
+from brindle.llm.common import documents, numbered, table, take_up, texts, without_rows, written
 
 #: Words of a phrase.
 WINDOW = 10
@@ -293,14 +293,16 @@ def _scan(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         )
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row_id, its id, n_words, n_hit (words inside occurrences), items
     (ids found, sorted as strings) and spans (merged, in characters, end exclusive). No text moves."""
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // ITEM_BYTES) or 1
     kind = dict(docs.dtypes)[id_col]
-    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("row_id", "id", "text")
+    rows = texts(docs, id_col, text_col, row)
+    if blocks > 1 and not row:
+        rows = written(rows, "numbered", compression="zstd")
     parts = []
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
@@ -344,8 +346,9 @@ def _merged(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows in which a phrase occurs."""
-    bad = written(contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col("row_id").alias("_row")), "contaminated")
-    return without_rows(with_row_id(docs, "_row"), bad, "_row").select(*docs.columns)
+    rows = numbered(docs, "_row")
+    bad = written(contamination(rows, items, id_col, text_col, row="_row").where("n_hit > 0").select(F.col("row_id").alias("_row")), "contaminated")
+    return without_rows(rows, bad, "_row").select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACES, attach_groups, documents, with_row_id, without_rows, written
+from brindle.llm.common import SPACES, attach_groups, documents, numbered, texts, without_rows, written
 
 #: Characters of the normalised text under the prefix hash.
 PREFIX = 64
@@ -34,11 +34,11 @@ def _slot(size: Column, prefix: Column) -> Column:
     return F.pmod(F.xxhash64(size, prefix), F.lit(1 << BITMAP))
 
 
-def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row_id, its id, keep_id, group_size, kept; with `digests` also
     `sha`, the SHA-256 of every normalised text (binary), else of surviving groups' only. `docs`
-    must be a stable scan, as of files, since it is read twice."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    must be a stable scan, as of files, since it is read twice; the numbers are the second scan's."""
+    rows = texts(docs, id_col, text_col, row)
     keyed = rows.withColumn("form", normal("text")).select("row_id", "id", "form", F.octet_length("form").alias("size"), F.xxhash64(F.substring("form", 1, PREFIX)).alias("prefix"))
     # the smallest groups' keys never leave the map side whole: one row per (size, prefix)
     company = keyed.groupBy("size", "prefix").agg(F.count("*").alias("n")).where("n > 1")
@@ -79,8 +79,9 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that `refine` does not keep."""
-    gone = written(refine(docs, id_col, text_col).where("not kept").select(F.col("row_id").alias("_row")), "dropped")
-    return without_rows(with_row_id(docs, "_row"), gone, "_row").select(*docs.columns)
+    rows = numbered(docs, "_row")
+    gone = written(refine(rows, id_col, text_col, row="_row").where("not kept").select(F.col("row_id").alias("_row")), "dropped")
+    return without_rows(rows, gone, "_row").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, with_row_id, written
+from brindle.llm.common import documents, numbered, with_row_id, written
 
 SHARDS = 16
 
@@ -66,13 +66,13 @@ def as_number(value: Column) -> Column:
     return F.coalesce(F.conv(raw, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source")) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source"), row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row_id, its id, size (UTF-8 bytes plus 1), text_crc32, place on
     the curve, shard and slot. `docs` must be a stable scan. Texts are read once and don't move."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     facts = written(
-        with_row_id(docs).select(
+        (docs.withColumn("row_id", F.col(row)) if row else with_row_id(docs)).select(
             "row_id", F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
             as_number(F.col(dims[0])).alias("d0"), as_number(F.col(dims[1])).alias("d1"),
         ).withColumn("d2", F.col("size")),
@@ -114,8 +114,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """`docs` as files, one folder per shard, rows in slot order."""
-    where = shard(docs, shards).select(F.col("row_id").alias("_row"), "shard", "slot")
-    with_row_id(docs, "_row").join(where, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    rows = numbered(docs, "_row")
+    where = shard(rows, shards, row="_row").select(F.col("row_id").alias("_row"), "shard", "slot")
+    rows.join(where, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
 
 
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import attach_groups, documents, smaller_batches, take_up, with_row_id, without_rows, written
+from brindle.llm.common import attach_groups, documents, numbered, smaller_batches, take_up, texts, without_rows, written
 
 SHINGLE = 3
 
@@ -501,23 +501,25 @@ def _ranges(rows: DataFrame) -> int:
     return min(max(int(size // RANGE_BYTES).bit_length(), 4), 24)
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def classes(docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row_id, id, size of its set, and its class: rep (row_id of its first
     row), members, least_id. Empty sets have no class."""
     kind = dict(docs.dtypes)[id_col]
-    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("row_id", "id", "text")
+    rows = texts(docs, id_col, text_col, row)
     with smaller_batches(docs.sparkSession):
         signed = written(rows.mapInArrow(signatures, f"row_id long, id {kind}, size int, sig binary"), "signatures")
     groups = written(signed.where("size > 0").groupBy("sig").agg(F.min("row_id").alias("rep"), F.count("*").alias("members"), F.min("id").alias("least_id")), "classes")
     return attach_groups(signed.withColumn("sig", F.when(F.col("size") > 0, F.col("sig"))), groups, "sig", "members").drop("sig")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row_id, its id, n_shingles, n_similar (other rows linked directly),
     component_id (smallest id reachable), component (its first class's row_id), rep and members (its
-    class). `docs` must be a stable scan, as of files, since it is read several times."""
-    rows = with_row_id(docs.select(F.col(text_col).alias("text")), "row_id").select("row_id", "text")
-    classed = written(classes(docs, id_col, text_col), "classed")
+    class). `row` names the column of numbers that `docs` has, if it is `numbered`; else its ids and
+    texts are written with numbers, since they are read several times."""
+    docs = texts(docs, id_col, text_col, row) if row else numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = docs.select("row_id", "text")
+    classed = written(classes(docs, "id", "text", "row_id"), "classed")
     skipped = written(classed.where("size = 0 or row_id != rep").select("row_id"), "skipped")
     own = without_rows(rows, skipped, "row_id").select("row_id", "text")
     log_ranges = _ranges(rows)
@@ -551,11 +553,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component: that of the smallest id (null ids last), of equal ids
     the first row. Rows with empty sets all stay."""
-    found = written(similar(docs, id_col, text_col).where("n_similar > 0").select(F.col("row_id").alias("_row"), F.col(id_col).alias("id"), "component"), "similar")
+    rows = numbered(docs, "_row")
+    found = written(similar(rows, id_col, text_col, "_row").where("n_similar > 0").select(F.col("row_id").alias("_row"), F.col(id_col).alias("id"), "component"), "similar")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("_row").alias("row"))
     first = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row"))
     gone = written(found.select("_row").join(first, "_row", "left_anti"), "dropped")
-    return without_rows(with_row_id(docs, "_row"), gone, "_row").select(*docs.columns)
+    return without_rows(rows, gone, "_row").select(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

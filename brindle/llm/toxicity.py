@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, labelled_sample, table, take_up, with_row_id, without_rows, written
+from brindle.llm.common import documents, labelled_sample, numbered, table, take_up, texts, without_rows, written
 
 #: log2 of the number of weights.
 BITS = 18
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     return train(got["text"].tolist(), got["y"].to_numpy(np.int64), got["weight"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", located: bool = True, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", located: bool = True, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
     """One row per row of `docs`: row_id, its id, score, and with `located` the offending sentences
     (start, end in characters from first to last word, and their own score)."""
     kind = dict(docs.dtypes)[id_col]
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append(pa.array(found, pa.list_(span)))
             yield pa.RecordBatch.from_arrays(out, ["row_id", "id", "score", "sentences"][: len(out)])
 
-    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("row_id", "id", "text")
+    rows = texts(docs, id_col, text_col, row)
     made = rows.mapInArrow(work, f"row_id long, id {kind}, score double" + ", sentences array<struct<start:long,end:long,score:double>>" * located)
     return made.withColumnRenamed("id", id_col)
 
@@ -209,8 +209,9 @@ def not_held_out() -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that score `threshold` or more."""
     model = fit(docs, labels, not_held_out())
-    bad = written(score(docs, model, located=False).where(F.col("score") >= threshold).select(F.col("row_id").alias("_row")), "toxic")
-    return without_rows(with_row_id(docs, "_row"), bad, "_row").select(*docs.columns)
+    rows = numbered(docs, "_row")
+    bad = written(score(rows, model, located=False, row="_row").where(F.col("score") >= threshold).select(F.col("row_id").alias("_row")), "toxic")
+    return without_rows(rows, bad, "_row").select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

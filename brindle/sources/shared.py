@@ -30,10 +30,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/brindle-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """`df`, computed once and read back from the shared folder: it cuts lineage, survives the loss
     of executors, and fixes anything (row numbers, samples) that a second evaluation might change."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import byte_bpe, bytewords, decontamination, exact_dedup, hilbert_sharding, jaccard_join, license_scan, pii, quality, token_counts, toxicity
+from brindle.llm import byte_bpe, bytewords, common, decontamination, exact_dedup, hilbert_sharding, jaccard_join, license_scan, pii, quality, token_counts, toxicity
 from brindle.llm.license_texts import TEMPLATES
 
 WORDS = "the of and to in a is that it for on with as this was be by are from at or an".split()
@@ -163,6 +163,46 @@ def test_license_pruning_loses_nothing():
         assert [(j, round(d, 9)) for _, j, d in got] == ([(best, round(dice[best], 9))] if dice[best] >= 0.6 else [])
 
 
+# row numbers
+
+
+def test_filters_when_the_cut_into_tasks_changes_between_scans(spark, tmp_path, labels, monkeypatch):
+    rng = random.Random(23)
+    near = prose(rng, 200)
+    leak = "quick brown foxes jump over very lazy dogs while nobody looks at them"
+    texts = [prose(rng, rng.randrange(40, 400)) for _ in range(60)]
+    for i in range(0, 60, 4):
+        texts[i] = (near + f" copy {i}", texts[i - 1], f"{texts[i]} {leak} {texts[i]}", texts[i] + " zzgrawlix")[i // 4 % 4]
+    for i in range(60):
+        table(spark, [texts[i]], [i]).coalesce(1).write.parquet(str(tmp_path / f"d/part={i}"))
+    real, count = common.written, itertools.count()
+
+    def written(*args, **options):
+        out = real(*args, **options)
+        spark.conf.set("spark.sql.files.minPartitionNum", (1, 60, 7)[next(count) % 3])
+        return out
+
+    for module in (common, toxicity, exact_dedup, jaccard_join, decontamination):
+        monkeypatch.setattr(module, "written", written)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        docs = spark.read.parquet(str(tmp_path / "d")).drop("part")
+        items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+        ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+        kind = lambda k: {i for i in range(0, 60, 4) if i // 4 % 4 == k}
+        assert ids(decontamination.drop_contaminated(docs, items)) == sorted(set(range(60)) - kind(2))
+        assert ids(exact_dedup.drop_duplicates(docs)) == sorted(set(range(60)) - kind(1))
+        assert ids(jaccard_join.drop_similar(docs)) == sorted(set(range(60)) - (kind(0) - {0}) - kind(1))
+        model = toxicity.train(["fine words here"] * 1 + [f"fine {i}" for i in range(40)] + [f"zzgrawlix {i}" for i in range(40)], np.array([0] * 41 + [1] * 40), np.ones(81))
+        monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+        assert ids(toxicity.drop_toxic(docs, labels([]))) == sorted(set(range(60)) - kind(3))
+        got = {r.doc_id: r.n_similar for r in jaccard_join.similar(docs).collect()}
+        assert {i for i, n in got.items() if n >= len(kind(0)) - 1} == kind(0)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 # 2 exact dedup
 
 
