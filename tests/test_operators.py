@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from brindle.functions import numeric as N
 from brindle.functions import text as X
 from brindle.operators import clustering, content, exploring, graphs, itemsets, predicting, recommending, similarity, sketches
 from brindle.operators.ordering import dense_index
+from brindle.plans import baskets
+from brindle.plans.registry import QUERIES
 from brindle.sources import readers, sinks
 
 BASKETS = [("1", "a"), ("1", "b"), ("1", "c"), ("2", "a"), ("2", "b"), ("3", "a"), ("3", "c"), ("4", "b")]
@@ -30,6 +33,17 @@ def test_itemsets(spark, method):
     assert {("".join(r.itemset), r.n) for r in found.collect()} == {("a", 3), ("b", 3), ("c", 2), ("ab", 2), ("ac", 2)}
 
 
+def test_itemsets_of_all_sizes(spark, monkeypatch):
+    """Six users share five items: every set of them, up to all six, is frequent."""
+    rows = [(user, item) for user in range(6) for item in range(5)] + [(7, 0), (8, 1)]
+    monkeypatch.setattr(baskets.T, "purchases", lambda *_: spark.createDataFrame(rows, "key long, item long"))
+    got = {(r.size, r.itemset, r.n) for r in QUERIES["itemsets_swapped_all"](spark, "").collect()}
+    assert got == {(k, ",".join(map(str, c)), 5) for k in range(1, 7) for c in combinations(range(6), k)}
+    monkeypatch.setattr(baskets.T, "baskets", lambda *_: spark.createDataFrame([(str(b), i) for b in range(3) for i in "abcdef"], "key string, item string"))
+    got = {(r.size, r.itemset, r.n) for r in QUERIES["itemsets_all"](spark, "").collect()}
+    assert got == {(k, ",".join(c), 3) for k in range(1, 7) for c in combinations("abcdef", k)}
+
+
 def test_jaccard_and_cosine(spark):
     rows = [(1, i) for i in (0, 1, 2)] + [(2, i) for i in (1, 2, 3)]
     pairs = spark.createDataFrame(rows, "key int, item int")
