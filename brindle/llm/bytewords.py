@@ -6,19 +6,21 @@ ASCII class cuts the bytes just where it cuts the characters. Nothing runs per w
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; a longer document is handled alone, in pieces of this size.
+#: Bytes of text handled at once; a longer document is handled alone.
 BLOCK = 1 << 21
-PIECE = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C55 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_tables: list[np.ndarray] = []
+#: Bytes beyond which a word is hashed by BLAKE2b instead of eight bytes a step.
+LONG = 1024
+
+_STEP = np.uint64(0x9E3779B97F4A7C55)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,36 +86,32 @@ def spans(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        size = max(n, PIECE + 1)
-        both = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            both.append(np.multiply.accumulate(t))
-        _tables[:] = both
-    return _tables[0], _tables[1]
-
-
-def _cuts(data: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pieces that end where a word ends, so that none is cut."""
-    at, n = 0, len(data)
-    while at < n:
-        to = min(at + PIECE, n)
-        if to < n:
-            k = int(np.searchsorted(end, to, "right"))
-            if k and end[k - 1] > at:
-                to = int(end[k - 1])
-            elif k < len(end):
-                to = int(end[k])
-        yield at, to
-        at = to
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+
+
+def _hashes(data: np.ndarray, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each eight bytes of a word are mixed into what came before. Words of one size of up to eight
+    bytes never share a hash; any other two do with a chance of 2^-64, for no step is linear."""
+    h = mix(mix(size.astype(np.uint64)) ^ (lanes[start] & _MASKS[np.minimum(size, 8)]))
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(at):
+        h[at] = mix(h[at] * _STEP + (lanes[start[at] + done] & _MASKS[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        word = data[start[i] : start[i] + size[i]]
+        h[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray = LOWER, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
     """Blocks of words with their 64-bit hashes. `is_word` may hold several classes (0 is none): a
-    word is a run of one class. For each n of `prefixes`, prefix_hash has the hashes
+    word is a run of one class. For each n of `prefixes`, up to 8, prefix_hash has the hashes
     of the words' first n bytes (0 where the word is not longer than n)."""
     for lo, hi in spans(offsets):
         d = data[offsets[lo] : offsets[hi]]
@@ -128,22 +126,10 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.n
         after[inner - 1] = 0
         start = np.flatnonzero((kind > 0) & (before != kind))
         end = np.flatnonzero((kind > 0) & (after != kind)) + 1
-        h = np.empty(len(start), np.uint64)
-        pre = [np.zeros(len(start), np.uint64) for _ in prefixes]
-        for a, b in _cuts(d, end):
-            i, j = np.searchsorted(start, (a, b))
-            if i == j:
-                continue
-            up, down = _powers(b - a + 1)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((fold[d[a:b]].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1:])
-            s, e = start[i:j] - a, end[i:j] - a
-            first = sums[s]
-            scale = down[s]
-            h[i:j] = mix((sums[e] - first) * scale + (e - s).astype(np.uint64))
-            for k, n in enumerate(prefixes):
-                longer = e - s > n
-                pre[k][i:j] = np.where(longer, mix((sums[np.minimum(s + n, e)] - first) * scale + np.uint64(n + 1_000_003)), np.uint64(0))
+        folded, size = fold[d], end - start
+        lanes = _lanes(folded)
+        h = _hashes(folded, lanes, start, size)
+        pre = [np.where(size > n, mix(mix(np.full(1, n + 1_000_003, np.uint64)) ^ (lanes[start] & _MASKS[n])), np.uint64(0)) for n in prefixes]
         yield Words(lo, hi, d, off, start, end, np.searchsorted(start, off), h, pre)
 
 

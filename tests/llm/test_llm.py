@@ -61,7 +61,7 @@ EDGES = [None, "", " \n\t", "x", "same text  here", "same text here", "same\ntex
 
 
 def test_bytewords_against_regex(monkeypatch):
-    monkeypatch.setattr(bytewords, "PIECE", 37)
+    monkeypatch.setattr(bytewords, "LONG", 24)
     monkeypatch.setattr(bytewords, "BLOCK", 100)
     rng = random.Random(2)
     for _ in range(60):
@@ -77,6 +77,21 @@ def test_bytewords_against_regex(monkeypatch):
         assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
 
 
+def thue_morse(n, first):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b ^ first] for b in bits)
+
+
+def test_words_that_collide_under_polynomials(scan):
+    for n in (16, 64, 1024, 2048):
+        assert bytewords.word_hash(thue_morse(n, 0).encode()) != bytewords.word_hash(thue_morse(n, 1).encode())
+    one, two = (f"x y {thue_morse(1024, k)}" for k in (0, 1))
+    got = {r.doc_id: (r.n_similar, r.component_id) for r in jaccard_join.similar(scan([one, two, two])).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (1, 1)}
+
+
 # 1 licences
 
 
