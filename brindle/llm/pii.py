@@ -2,26 +2,33 @@
 
 Patterns give the base spans: each kind's leftmost non-overlapping matches, of which those that fail
 the kind's test (parts of an address, Luhn's sum, number of digits) drop out without another try.
-So a number can hide its neighbour: "+1 (269) 555-3296 4524132264652876" is one failed match.
+So a number can hide its neighbour: "+1 (269) 555-3296 4524132264652876" is one failed match. And a
+number written again in a way that no pattern knows ("269.555.3296") has no base span.
 
 The field labels tokens that have a digit or an @ (any other token is outside for certain, which
-leaves its neighbours' potentials constant, so it needs no variable). Unary potentials come from a
-token's shape, its tests and its neighbours' shapes; chain edges link tokens side by side; skip
-edges link each token to the next equal or similar one of the document, however far. Factors are
-trained piecewise from counts over all documents, with the base spans as labels. Loopy sum-product
-messages give marginals; labelled runs that base spans don't touch, and that pass their kind's own
-test, are added. Base spans always stay.
-
-Null counts as empty: no spans. Repeated rows each give theirs. Texts are whole; positions are code
-points, ends exclusive.
+leaves its neighbours' potentials constant, so it needs no variable). Tokens of base spans are
+observed. The others' unary potentials come from their shape, or where that shape never was in a
+base span, from their numbers of digits and signs; and from their neighbours' shapes. Chain edges
+link tokens side by side. Skip edges link tokens, however far apart, to the next equal or similar
+one (long numbers are alike however they are grouped), and to the last base span of those digits.
+Factors are trained piecewise from counts over all documents, with the base spans as labels; as these
+are incomplete, a token without a label that repeats a labelled number is no evidence. Loopy
+sum-product messages, passed until they settle, give marginals. A labelled run of tokens is added if
+no base span touches it and it passes its kind's own test, or has the digits of a base span of its
+kind (for phones, of its last seven or more). Base spans always stay.
+
+Null counts as empty: no spans. Repeated rows each give theirs, an empty table none; equally likely
+labels take the first of outside, email, ip, card, phone. Columns other than id and text don't
+matter. Texts are whole; positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,23 +36,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, with_row_id
+from brindle.llm.common import documents, with_row_id, written
 
 KINDS = ("email", "ip", "card", "phone")
 
 #: Labels of the field: outside, then the kinds.
 LABELS = 1 + len(KINDS)
 
-#: Shapes are told apart by so many buckets, which bounds the tables of counts.
-SHAPES = 2048
+#: Shapes that make up at least one MOST_SHAPES-th of a factor's labelled tokens have potentials of
+#: their own, which are so many at most, whatever the corpus; the others share one row.
+MOST_SHAPES = 20_000
+_OTHER = 0
 
-#: Marginal probability from which a label counts, rounds of messages, pseudo-count of each label.
-SURE, ROUNDS, SMOOTH = 0.8, 10, 0.05
+#: Marginal probability from which a label counts; pseudo-counts of each label, and of each pair.
+SURE, SMOOTH, PAIR = 0.8, 0.05, 0.5
+
+#: Weight of a coarse shape's evidence: most of its tokens have no label for want of a pattern.
+TRUST = 0.5
+
+#: Messages are passed until none changes by more than SETTLED. After a round per token, which lets
+#: labels travel through a whole document, they move half the way, for so many rounds at most.
+SETTLED, ROUNDS = 1e-6, 1000
+
+#: Digits from which a number is alike in any grouping.
+DIGITS = 6
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# a match can begin only where a run of digits does, which is tried once
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"\S+")
@@ -109,20 +129,33 @@ class Token(NamedTuple):
     start: int
     end: int
     text: str
+    digits: str
     shape: int
+    coarse: int
     joined: bool
 
 
-def _shape(text: str) -> int:
-    s = re.sub(r"[0-9]+", lambda m: f"\x00{min(len(m[0]), 20)}", text)
-    s = re.sub(r"[^\W\d_]+", "a", s)
-    if text.count(".") == 3 and _IP.fullmatch(text):
-        s = "ip" + str(is_ip(text))
-    elif _CARD.fullmatch(text) and is_card(text):
-        s += "luhn"
-    elif "@" in text:
-        s = "mail" + str(bool(emails(text)))
-    return zlib.crc32(s[:40].encode()) % SHAPES
+@lru_cache(1 << 16)
+def _number(shape: str) -> int:
+    """A shape as a number, never that of _OTHER."""
+    return int.from_bytes(hashlib.blake2b(shape.encode(), digest_size=8).digest(), "little", signed=True) | 1
+
+
+def _shapes(text: str, digits: str) -> tuple[int, int]:
+    """The whole shape, and the coarse one: digits, letters, signs that tell kinds."""
+    fine = re.sub(r"[0-9]+", lambda m: f"\x00{min(len(m[0]), 20)}", text)
+    fine = re.sub(r"[^\W\d_]+", "a", fine)
+    dots = text.count(".") == 3 and _IP.fullmatch(text) is not None
+    whole = "@" not in text and _CARD.fullmatch(text) is not None and is_card(text)
+    mail = "@" in text and bool(emails(text))
+    if dots:
+        fine = "ip" + str(is_ip(text))
+    elif mail or "@" in text:
+        fine = "mail" + str(mail)
+    elif whole:
+        fine += "luhn"
+    coarse = min(len(digits), 20) << 6 | (text[:1] == "+") << 5 | ("@" in text) << 4 | mail << 3 | dots << 2 | whole << 1 | (re.search(r"[^\W\d_]", text) is not None)
+    return _number(fine), coarse
 
 
 def tokens(text: str) -> list[Token]:
@@ -138,25 +171,55 @@ def tokens(text: str) -> list[Token]:
             continue
         start = m.start() + word.index(core)
         joined = bool(out) and out[-1].place == place - 1 and start == out[-1].end + 1
-        out.append(Token(place, start, start + len(core), core, _shape(core), joined))
+        digits = _NOT_DIGIT.sub("", core)
+        out.append(Token(place, start, start + len(core), core, digits, *_shapes(core, digits), joined))
     return out
 
 
 def _key(token: Token) -> str:
-    """Equal for equal or similar tokens: long numbers are the same however they are grouped."""
-    digits = _NOT_DIGIT.sub("", token.text)
-    return digits if len(digits) >= 6 and "@" not in token.text else token.text.lower()
+    """Equal for equal or similar tokens."""
+    return token.digits if _long(token) else token.text.lower()
+
+
+def _long(token: Token) -> bool:
+    return len(token.digits) >= DIGITS and "@" not in token.text
+
 
+def _tails(digits: str) -> tuple[str, ...]:
+    """A number as it is and without what may be a country's code."""
+    return (digits, digits[-10:]) if len(digits) > 10 else (digits,)
 
-def skips(found: list[Token]) -> list[tuple[int, int]]:
-    """Each token with the next one alike, unless they are side by side."""
+
+def skips(found: list[Token], labels: list[int] | None = None) -> list[tuple[int, int, bool]]:
+    """(token, token, alike for certain): each token with the next one alike, unless they are side by
+    side; and with the last token of a base span (run of `labels`) that has its digits."""
     last: dict[str, int] = {}
     out = []
     for i, t in enumerate(found):
         key = _key(t)
         if key in last and not (t.joined and last[key] == i - 1):
-            out.append((last[key], i))
+            out.append((last[key], i, _long(t) or "@" in t.text))
         last[key] = i
+    ends: dict[str, int] = {}
+    for i, j, _ in _runs(found, labels or []):
+        if j - i > 1:
+            for tail in _tails("".join(t.digits for t in found[i:j])):
+                ends[tail] = j - 1
+    if ends:
+        out += [(ends[tail], i, True) for i, t in enumerate(found) if not labels[i] and _long(t) for tail in _tails(t.digits)[-1:] if tail in ends]
+    return out
+
+
+def _runs(found: list[Token], labels: list[int]) -> list[tuple[int, int, int]]:
+    """(first, end, label) of the base spans' tokens: neighbours of one label."""
+    out, i = [], 0
+    while i < len(labels):
+        j = i + 1
+        if labels[i]:
+            while j < len(labels) and labels[j] == labels[i] and found[j].joined and found[j].text[:1] != "+":
+                j += 1
+            out.append((i, j, labels[i]))
+        i = j
     return out
 
 
@@ -177,7 +240,8 @@ def _labels(found: list[Token], spans: list[tuple[int, int, int]]) -> list[int]:
 
 
 def _count(texts: list[str | None]) -> Counter:
-    """Counts of (factor, value, label or labels): own shape 0, shape before 1, after 2, chain 3, skip 4."""
+    """Counts of (factor, value, label or labels): own shape 0, shape before 1, after 2, chain 3, skip
+    between alike tokens 4 and others 5, own coarse shape 6."""
     n: Counter = Counter()
     for text in texts:
         if not text:
@@ -186,51 +250,66 @@ def _count(texts: list[str | None]) -> Counter:
         if not found:
             continue
         y = _labels(found, base_spans(text))
+        linked = skips(found, y)
+        unknown = {c for a, b, alike in linked if alike and (y[a] > 0) != (y[b] > 0) for c in (a, b) if not y[c]}
         for i, t in enumerate(found):
-            n[0, t.shape, y[i]] += 1
+            if i not in unknown:
+                n[0, t.shape, y[i]] += 1
+                n[6, t.coarse, y[i]] += 1
             if t.joined:
                 n[1, found[i - 1].shape, y[i]] += 1
                 n[2, t.shape, y[i - 1]] += 1
                 n[3, y[i - 1], y[i]] += 1
-        for a, b in skips(found):
-            n[4, y[a], y[b]] += 1
+        for a, b, alike in linked:
+            if not alike or (a not in unknown and b not in unknown):
+                n[4 if alike else 5, y[a], y[b]] += 1
     return n
 
 
 class Field(NamedTuple):
-    """Log potentials."""
+    """Log potentials. `places` has the row of each shape in the tables of factors 0, 1, 2 and 6."""
 
+    places: dict[int, dict[int, int]]
     own: np.ndarray
     before: np.ndarray
     after: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
+    coarse: np.ndarray
+    pairs: np.ndarray
+
+    def row(self, factor: int, value: int) -> int:
+        return self.places[factor].get(value, 0)
 
 
 def field(counts: dict[tuple[int, int, int], int]) -> Field:
-    tables = [np.zeros((SHAPES, LABELS)) for _ in range(3)] + [np.zeros((LABELS, LABELS)) for _ in range(2)]
+    places: dict[int, dict[int, int]] = {f: {_OTHER: 0} for f in (0, 1, 2, 6)}
+    for factor, value, label in sorted(counts):
+        if factor == 6 or (factor < 3 and label):
+            places[factor].setdefault(value, len(places[factor]))
+    tables = {f: np.zeros((len(places[f]), LABELS)) for f in places} | {f: np.zeros((LABELS, LABELS)) for f in (3, 4, 5)}
     for (factor, value, label), n in counts.items():
-        tables[factor][value, label] += n
-    prior = (tables[0].sum(0) + 1) / (tables[0].sum() + LABELS)
+        tables[factor][places[factor].get(value, 0) if factor in places else value, label] += n
+    prior = (tables[6].sum(0) + 1) / (tables[6].sum() + LABELS)
     log_prior = np.log(prior)
-    # unseen shapes lean on the prior
-    own = np.log((tables[0] + SMOOTH * LABELS * prior) / (tables[0].sum(1, keepdims=True) + SMOOTH * LABELS))
+    own, coarse = (np.log((t + SMOOTH * LABELS * prior) / (t.sum(1, keepdims=True) + SMOOTH * LABELS)) for t in (tables[0], tables[6]))
     sides = []
-    for t in tables[1:3]:
+    for t in (tables[1], tables[2]):
         share = (t + LABELS * prior) / (t.sum(1, keepdims=True) + LABELS)
         sides.append(0.5 * (np.log(share) - log_prior))
     pairs = []
-    for t in tables[3:]:
-        joint = (t + t.T) / 2 + 0.5
+    for t, any_pair, same in ((tables[3], PAIR, 0.0), (tables[4], PAIR / 1000, 1.0), (tables[5], PAIR, 0.0)):
+        # which token comes first says nothing; alike tokens agree as long as nothing is known of any
+        joint = (t + t.T) / 2 + any_pair + same * np.eye(LABELS)
         joint /= joint.sum()
         side = joint.sum(1)
         pairs.append(np.log(joint) - np.log(side)[:, None] - np.log(side)[None, :])
-    return Field(own, sides[0], sides[1], pairs[0], pairs[1])
+    return Field(places, own, sides[0], sides[1], coarse, np.stack(pairs))
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Sum-product messages on all edges at once; exact on trees once rounds reach their depth."""
+def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Sum-product messages on all edges at once, until they settle: exact on trees. `longest`: tokens
+    of the largest document, between whose tokens the edges are."""
     n, e = len(unary), len(edges)
+    longest = n if longest is None else longest
     if not n:
         return unary
     src = np.concatenate([edges[:, 0], edges[:, 1]]) if e else np.empty(0, np.int64)
@@ -239,53 +318,64 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, roun
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
     message = np.zeros((2 * e, LABELS))
     belief = unary
-    for _ in range(rounds if e else 0):
+    for step in range(longest + ROUNDS if e else 0):
         z = (belief[src] - message[back])[:, :, None] + pot
         top = z.max(1, keepdims=True)
-        message = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
-        message -= message.max(1, keepdims=True)
-        belief = unary.copy()
-        np.add.at(belief, dst, message)
+        new = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
+        new -= new.max(1, keepdims=True)
+        if step > longest:
+            new = (new + message) / 2
+        moved = np.abs(new - message).max()
+        message = new
+        belief = unary + np.stack([np.bincount(dst, weights=message[:, k], minlength=n) for k in range(LABELS)], 1)
+        if moved < SETTLED:
+            break
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-def added(texts: list[str | None], bases: list[list[tuple[int, int, int]]], model: Field) -> list[list[tuple[int, int, int]]]:
-    """Spans beyond the base ones, for many documents in one graph."""
+def added(texts: list[str | None], bases: list[list[tuple[int, int, int]]], model: Field, skip: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Spans beyond the base ones, for many documents in one graph; without `skip`, by chains only."""
     found = [tokens(t) if t else [] for t in texts]
+    observed = [_labels(mine, known) for mine, known in zip(found, bases)]
     unary, edges, kinds, base = [], [], [], 0
-    for mine in found:
+    fixed = np.where(np.eye(LABELS) > 0, 0.0, -40.0)
+    for mine, y in zip(found, observed):
         for i, t in enumerate(mine):
-            u = model.own[t.shape]
+            own = model.row(0, t.shape)
+            u = model.own[own] if own else TRUST * model.coarse[model.row(6, t.coarse)]
             if t.joined:
-                u = u + model.before[mine[i - 1].shape]
+                u = u + model.before[model.row(1, mine[i - 1].shape)]
                 edges.append((base + i - 1, base + i))
                 kinds.append(0)
             if i + 1 < len(mine) and mine[i + 1].joined:
-                u = u + model.after[mine[i + 1].shape]
-            unary.append(u)
-        for a, b in skips(mine):
+                u = u + model.after[model.row(2, mine[i + 1].shape)]
+            unary.append(fixed[y[i]] if y[i] else u)
+        for a, b, alike in skips(mine, y) if skip else ():
             edges.append((base + a, base + b))
-            kinds.append(1)
+            kinds.append(1 if alike else 2)
         base += len(mine)
     if not base:
         return [[] for _ in texts]
-    pots = np.stack([model.chain, model.skip])[np.array(kinds, np.int64)]
-    p = marginals(np.array(unary), np.array(edges, np.int64).reshape(-1, 2), pots)
+    p = marginals(np.array(unary), np.array(edges, np.int64).reshape(-1, 2), model.pairs[np.array(kinds, np.int64)], max(map(len, found)))
     label, sure = p.argmax(1).tolist(), (p.max(1) >= SURE).tolist()
     out, base = [], 0
-    for text, mine, known in zip(texts, found, bases):
+    for text, mine, y, known in zip(texts, found, observed, bases):
         spans, i = [], 0
-        covered = sorted((a, b) for _, a, b in known)
+        digits = [{_NOT_DIGIT.sub("", text[a:b]) for k, a, b in known if k == kind} for kind in range(len(KINDS))]
         while i < len(mine):
-            y, j = label[base + i], i + 1
-            if y and sure[base + i]:
-                # a phone number may be several tokens; it begins at a plus sign
-                while y == 4 and j < len(mine) and mine[j].joined and label[base + j] == y and sure[base + j] and mine[j].text[0] != "+":
+            k, j = label[base + i], i + 1
+            if k and sure[base + i] and not y[i]:
+                # numbers may be several tokens; a phone number begins at a plus sign
+                while k >= 3 and j < len(mine) and mine[j].joined and not y[j] and label[base + j] == k and sure[base + j] and (k == 3 or mine[j].text[0] != "+"):
                     j += 1
-                a, b = mine[i].start, mine[j - 1].end
-                if _fits(y - 1, text[a:b]) and not any(x < b and a < z for x, z in covered):
-                    spans.append((y - 1, a, b))
+                # the longest run from here that is one entity; else the next token gets its turn
+                ends = [e for e in range(j, i, -1) if _fits(k - 1, text[mine[i].start : mine[e - 1].end]) or _repeats(k - 1, "".join(t.digits for t in mine[i:e]), digits[k - 1])]
+                if ends:
+                    j = ends[0]
+                    spans.append((k - 1, mine[i].start, mine[j - 1].end))
+                else:
+                    j = i + 1
             i = j
         out.append(spans)
         base += len(mine)
@@ -299,13 +389,21 @@ def _fits(kind: int, text: str) -> bool:
     return bool(pattern.fullmatch(text)) and test(text)
 
 
+def _repeats(kind: int, digits: str, known: set[str]) -> bool:
+    """Whether a base span of the kind has these digits; a phone number may lack the first ones."""
+    if kind == 0 or len(digits) < DIGITS:
+        return False
+    return digits in known or (kind == 3 and len(digits) > DIGITS and any(d.endswith(digits) for d in known))
+
+
 def _only_candidates(text_col: str) -> Column:
     """Texts without a digit or @ have no spans: they don't travel to Python."""
     return F.when(F.col(text_col).rlike("[0-9@]"), F.col(text_col))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Field:
-    """The field, from counts over all documents; the collected table has a bounded number of rows."""
+    """The field, from counts over all documents. Of the shapes that ever were in base spans at most
+    MOST_SHAPES a factor reach the driver, and coarse shapes are at most 1344."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -313,11 +411,18 @@ def fit(docs: DataFrame, text_col: str = "text") -> Field:
             n += _count(batch.column(0).to_pylist())
         if n:
             a, b, c = zip(*n)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(n.values(), pa.int64())], ["factor", "value", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(n.values(), pa.int64())], ["factor", "value", "label", "n"])
 
     texts = docs.select(_only_candidates(text_col).alias("text")).where("text is not null")
-    counts = texts.mapInArrow(work, "factor int, value int, label int, n long").groupBy("factor", "value", "label").agg(F.sum("n").alias("n"))
-    return field({(r.factor, r.value, r.label): r.n for r in counts.collect()})
+    counts = written(texts.mapInArrow(work, "factor int, value long, label int, n long").groupBy("factor", "value", "label").agg(F.sum("n").alias("n")), "counts")
+    shaped = F.col("factor").isin(0, 1, 2)
+    known = counts.where(shaped & (F.col("label") > 0))
+    total = known.groupBy("factor").agg(F.sum("n").alias("total"))
+    often = known.groupBy("factor", "value").agg(F.sum("n").alias("k")).join(F.broadcast(total), "factor").where(F.col("k") * MOST_SHAPES >= F.col("total")).select("factor", "value", F.lit(True).alias("own"))
+    kept = counts.join(F.broadcast(often), ["factor", "value"], "left")
+    value = F.when(~shaped | F.col("own"), F.col("value")).otherwise(F.lit(_OTHER).cast("long"))
+    rows = kept.groupBy("factor", value.alias("value"), "label").agg(F.sum("n").alias("n")).collect()
+    return field({(r.factor, r.value, r.label): r.n for r in rows})
 
 
 def find(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
