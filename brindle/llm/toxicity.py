@@ -3,10 +3,17 @@
 A document is a bag of sentences. A sentence's score is a logistic function of the weights of its
 words and of their beginnings; the document's score is the noisy-or of its sentences' scores, one
 minus the chance that none is toxic. Only document labels train the weights; the sentences whose
-scores are high are the offending ones.
+scores are high are the offending ones. Features are told apart by 64-bit hashes; a word that the
+sample did not single out has no weight.
 
-Null and empty texts have no sentence and score 0. Repeated rows each get their score. Without
-labels of both classes every score is 0. Texts are whole; sentences of any length count.
+The weights are learned from a bounded sample of labelled documents (SAMPLE of each class). Their
+texts stay on the executors: the driver gets the features' counts and, for each document, the
+places of the features chosen.
+
+Null and empty texts have no sentence and score 0. Repeated rows each get their score; equal texts
+count once in the sample. Without labels of both classes, or without documents, every score is 0.
+Ties don't arise. Other columns of the tables don't matter, whatever their names. Texts are whole;
+sentences of any length count.
 """
 
 from __future__ import annotations
@@ -20,10 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, labelled_sample, numbered, table, take_up, texts, without_rows, written
-
-#: log2 of the number of weights.
-BITS = 18
+from brindle.llm.common import SPACES, documents, fresh, labelled_sample, numbered, table, take_up, texts, without_rows, written
 
 #: Labelled documents of each class, at most, that the weights are learned from.
 SAMPLE = 2000
@@ -32,8 +36,11 @@ SAMPLE = 2000
 BEGINNINGS = (3, 4, 5, 6)
 
 #: A feature gets a weight if it occurs in so many of the sample's texts, and more often in toxic
-#: ones, with so large a likelihood-ratio statistic against chance.
-LEAST_DOCS, LEAST_G2 = 3, 18.0
+#: ones, with so large a likelihood-ratio statistic: chance gives that to one feature in a million.
+LEAST_DOCS, LEAST_G2 = 3, 22.0
+
+#: Features with a weight, at most: those of the largest statistic.
+FEATURES = 1 << 16
 
 #: A document is toxic from this score on; so is an offending sentence.
 THRESHOLD = 0.7
@@ -44,38 +51,56 @@ _ENDS = bytewords.byte_class((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x
 
 
 class Bags(NamedTuple):
-    """features[i] are those of word i (-1: none); sentence s is words first_word[s]:first_word[s+1],
+    """keys[k][i] is feature k of word i (0: none); sentence s is words first_word[s]:first_word[s+1],
     document d is sentences first_sentence[d]:first_sentence[d+1]."""
 
-    features: np.ndarray
+    keys: list[np.ndarray]
     first_word: np.ndarray
     first_sentence: np.ndarray
     words: bytewords.Words
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[Bags]:
-    shift = np.uint64(64 - BITS)
     for w in bytewords.words(data, offsets, bytewords.ALNUM, prefixes=BEGINNINGS):
-        columns = [(w.hash >> shift).astype(np.int32)]
-        columns += [np.where(p == 0, -1, (p >> shift).astype(np.int32)).astype(np.int32) for p in w.prefix_hash]
         ends = np.cumsum(_ENDS[w.data])
         sentence = ends[w.start] if len(w.start) else np.empty(0, np.int64)
         new = np.ones(len(sentence), bool)
         new[1:] = sentence[1:] != sentence[:-1]
         new[w.bounds[:-1][w.bounds[:-1] < len(sentence)]] = True
         first_word = np.append(np.flatnonzero(new), len(sentence))
-        yield Bags(np.stack(columns, 1), first_word, np.searchsorted(first_word[:-1], w.bounds), w)
+        yield Bags([w.hash, *w.prefix_hash], first_word, np.searchsorted(first_word[:-1], w.bounds), w)
+
+
+class Features:
+    """The chosen features, by their keys in ascending order."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(keys.astype(np.uint64))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def places(self, bag: Bags) -> tuple[np.ndarray, np.ndarray]:
+        """(word, feature) of every feature of the block's words."""
+        words, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for key in bag.keys if len(self.keys) else ():
+            at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+            hit = self.keys[k] == key[at]
+            words.append(at[hit])
+            numbers.append(k[hit])
+        return np.concatenate(words), np.concatenate(numbers)
 
 
 class Model(NamedTuple):
+    features: Features
     weights: np.ndarray
     bias: float
 
     def sentences(self, bag: Bags) -> np.ndarray:
         """Log odds of each sentence."""
-        gained = self.weights[bag.features].sum(1, dtype=np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(gained)])
-        return sums[bag.first_word[1:]] - sums[bag.first_word[:-1]] + self.bias
+        word, number = self.features.places(bag)
+        sentence = np.searchsorted(bag.first_word, word, "right") - 1
+        return np.bincount(sentence, weights=self.weights[number], minlength=len(bag.first_word) - 1) + self.bias
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -88,81 +113,99 @@ def noisy_or(z: np.ndarray, first_sentence: np.ndarray) -> np.ndarray:
     return -np.expm1(-np.maximum(sums[first_sentence[1:]] - sums[first_sentence[:-1]], 0.0))
 
 
-def _g2(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Likelihood-ratio statistic of a feature's counts of documents; 0 where it leans to clean ones."""
-
-    def part(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(k / (n * share)), 0.0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - share))), 0.0)
-
-    share = np.clip((toxic + clean) / (n_toxic + n_clean), 1e-12, 1 - 1e-12)
-    return np.where(toxic * n_clean > clean * n_toxic, 2 * (part(toxic, n_toxic, share) + part(clean, n_clean, share)), 0.0)
-
-
-def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
-    """Full-batch Adam on the weighted likelihood of document labels under the noisy-or, over the
-    features that lean to toxic documents beyond chance. Equal texts count once."""
-    first: dict[str, int] = {}
-    for i, t in enumerate(texts):
-        first.setdefault(" ".join(t.split()), i)
-    once = np.array(sorted(first.values()), np.int64)
-    del first
-    texts, y, weight = [texts[i] for i in once], y[once], weight[once]
-    none = Model(np.zeros((1 << BITS) + 1, np.float32), -50.0)
-    if len(set(y.tolist())) < 2:
-        return none
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    df = np.zeros((2, (1 << BITS) + 1))
-    for b in bags(data, offsets):
-        doc = np.repeat(np.arange(b.words.hi - b.words.lo), np.diff(b.words.bounds))
-        seen = np.unique(doc.repeat(b.features.shape[1]).astype(np.int64) << 32 | (b.features.ravel() + 1).astype(np.int64))
-        of, f = y[b.words.lo + (seen >> 32)], seen & 0xFFFFFFFF
-        for c in (0, 1):
-            df[c] += np.bincount(f[of == c], minlength=df.shape[1])
-    df = df[:, 1:]
-    n_toxic = int(y.sum())
-    strong = _g2(df[1], df[0], n_toxic, len(y) - n_toxic)
-    kept = np.flatnonzero((df.sum(0) >= LEAST_DOCS) & (strong >= LEAST_G2))
-    compact = np.zeros((1 << BITS) + 1, np.int32)
-    compact[kept] = np.arange(1, len(kept) + 1)
-    # only words with such a feature matter, but every sentence counts through the bias
-    of_word, of_feature, per_sentence, per_doc, sentences = [], [], [], [], 0
-    for b in bags(data, offsets):
-        f = compact[b.features]
-        word, column = np.nonzero(f)
-        of_feature.append(f[word, column])
-        of_word.append(np.repeat(np.arange(len(b.first_word) - 1), np.diff(b.first_word))[word] + sentences)
-        sentences += len(b.first_word) - 1
-        per_doc.append(np.diff(b.first_sentence))
-    feature, sentence, per_doc = np.concatenate(of_feature), np.concatenate(of_word), np.concatenate(per_doc)
-    first_sentence = np.concatenate([[0], np.cumsum(per_doc)])
-    sentence_doc = np.repeat(np.arange(len(per_doc)), per_doc)
-    theta = np.zeros(len(kept) + 2)
+def _g2(n_toxic: int, n_clean: int) -> Column:
+    """Likelihood-ratio statistic of a feature's counts of documents, `toxic` and `clean`; 0 where it
+    leans to clean ones."""
+    share = (F.col("toxic") + F.col("clean")) / F.lit(float(n_toxic + n_clean))
+
+    def part(k: Column, n: int) -> Column:
+        inside = F.when(k > 0, k * F.log(k / (share * n))).otherwise(0.0)
+        return inside + F.when(k < n, (F.lit(n) - k) * F.log((F.lit(n) - k) / ((1 - share) * n))).otherwise(0.0)
+
+    return F.when(F.col("toxic") * n_clean > F.col("clean") * n_toxic, 2 * (part(F.col("toxic"), n_toxic) + part(F.col("clean"), n_clean))).otherwise(0.0)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, text) to each feature's number of documents, toxic and clean."""
+    take_up("toxicity")
+    for batch in batches:
+        y = batch.column(0).to_numpy()
+        for b in bags(*bytewords.text_buffers(batch.column(1))):
+            doc = np.repeat(np.arange(b.words.hi - b.words.lo), np.diff(b.words.bounds))
+            pairs = [np.unique(np.stack([doc[k > 0].astype(np.uint64), k[k > 0]], 1), axis=0) for k in b.keys]
+            of, key = np.concatenate(pairs).T
+            toxic = y[b.words.lo + of.astype(np.int64)] > 0
+            known, where = np.unique(key, return_inverse=True)
+            columns = [np.bincount(where, weights=side, minlength=len(known)).astype(np.int64) for side in (toxic, ~toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *map(pa.array, columns)], ["key", "toxic", "clean"])
+
+
+def _placed(features: Features):
+    """(id, y, weight, text) to the number of sentences and the (sentence, feature) pairs, as 32-bit
+    numbers; nothing else of the texts reaches the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_up("toxicity")
+        for batch in batches:
+            n, marks = np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
+            for b in bags(*bytewords.text_buffers(batch.column(3))):
+                n[b.words.lo : b.words.hi] = np.diff(b.first_sentence)
+                word, number = features.places(b)
+                sentence = np.searchsorted(b.first_word, word, "right") - 1
+                order = np.lexsort((number, sentence))
+                sentence, number = sentence[order], number[order]
+                edges = np.searchsorted(sentence, b.first_sentence)
+                for d in np.flatnonzero(np.diff(edges)).tolist():
+                    i, j = edges[d], edges[d + 1]
+                    marks[b.words.lo + d] = np.stack([sentence[i:j] - b.first_sentence[d], number[i:j]], 1).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(marks, pa.binary())], ["id", "y", "weight", "n", "marks"])
+
+    return work
+
+
+def train(features: Features, y: np.ndarray, weight: np.ndarray, n: np.ndarray, marks: list[bytes]) -> Model:
+    """Full-batch Adam on the weighted likelihood of document labels under the noisy-or. Sentences
+    without a feature all have the bias alone, so that only their number counts."""
+    pairs = [np.frombuffer(m, np.int32).reshape(-1, 2) for m in marks]
+    of_doc = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+    both = np.concatenate([np.empty((0, 2), np.int32), *pairs]).astype(np.int64)
+    known, sentence = np.unique(of_doc << 32 | both[:, 0], return_inverse=True)
+    doc, feature = known >> 32, both[:, 1]
+    plain = n - np.bincount(doc, minlength=len(n))
+    theta = np.zeros(len(features.keys) + 1)
     theta[-1] = -6.0  # the bias
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     share = weight / weight.sum()
+    odds = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(sentence, weights=theta[feature], minlength=sentences) + theta[-1]
-        p = np.clip(noisy_or(z, first_sentence), 1e-9, 1 - 1e-9)
+        z = np.bincount(sentence, weights=theta[feature], minlength=len(known)) + theta[-1]
+        none = np.bincount(doc, weights=_softplus(z), minlength=len(n)) + plain * _softplus(theta[-1])
+        p = np.clip(-np.expm1(-none), 1e-9, 1 - 1e-9)
         # d loss / d z: sigmoid(z) for clean documents, -sigmoid(z) * (1 - p) / p for toxic ones
         slope = np.where(y > 0, -(1 - p) / p, 1.0) * share
-        each = slope[sentence_doc] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.bincount(feature, weights=each[sentence], minlength=len(theta)).astype(float)
-        grad[:-1] += DECAY * theta[:-1] / len(y)
-        grad[0], grad[-1] = 0.0, each.sum()
+        each = slope[doc] * odds(z)
+        grad = np.append(np.bincount(feature, weights=each[sentence], minlength=len(features.keys)) + DECAY * theta[:-1] / len(y), each.sum() + (slope * plain).sum() * odds(theta[-1]))
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         theta = theta - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros((1 << BITS) + 1, np.float32)
-    weights[kept] = theta[1:-1]
-    return Model(weights, float(theta[-1]))
+    return Model(features, theta[:-1], float(theta[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    got = labelled_sample(docs, labels, "toxic", learn, sample).orderBy("id").toPandas()
-    return train(got["text"].tolist(), got["y"].to_numpy(np.int64), got["weight"].to_numpy(float))
+    """The model of the labelled documents for which `learn`, a condition on `labels`, holds."""
+    got = labelled_sample(docs, labels, "toxic", learn, sample)
+    once = got.groupBy(F.sha2(F.regexp_replace("text", SPACES, " ").cast("binary"), 256)).agg(F.min(F.struct("id", "y", "weight", "text")).alias("first"))
+    sample_of = written(once.select("first.*"), "sample")
+    sizes = {bool(r.y): r.n for r in sample_of.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return Model(Features(np.empty(0, np.uint64)), np.empty(0), -50.0)
+    counts = sample_of.select("y", "text").mapInArrow(_counted, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    strong = counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("g2", _g2(sizes[True], sizes[False])).where(F.col("g2") >= LEAST_G2)
+    keys = [r.key for r in strong.orderBy(F.desc("g2"), "key").select("key").limit(FEATURES).collect()]
+    features = Features(np.array(keys, np.int64).view(np.uint64))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = sample_of.mapInArrow(_placed(features), f"id {kind}, y int, weight double, n long, marks binary").toPandas().sort_values("id")
+    return train(features, rows["y"].to_numpy(np.int64), rows["weight"].to_numpy(float), rows["n"].to_numpy(np.int64), rows["marks"].tolist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", located: bool = True, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
@@ -209,9 +252,10 @@ def not_held_out() -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that score `threshold` or more."""
     model = fit(docs, labels, not_held_out())
-    rows = numbered(docs, "_row")
-    bad = written(score(rows, model, located=False, row="_row").where(F.col("score") >= threshold).select(F.col("row_id").alias("_row")), "toxic")
-    return without_rows(rows, bad, "_row").select(*docs.columns)
+    row = fresh(docs)
+    rows = numbered(docs, row)
+    bad = written(score(rows, model, located=False, row=row).where(F.col("score") >= threshold).select(F.col("row_id").alias(row)), "toxic")
+    return without_rows(rows, bad, row).drop(row)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
