@@ -79,6 +79,14 @@ def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
     return written(with_row_id(df, name), "numbered", compression="zstd")
 
 
+def fresh(df: DataFrame, name: str = "_row") -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
     """row_id, id and text. `row` names the column of numbers that `docs` has, if it is `numbered`."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row).alias("row_id")] if row else []))
@@ -112,18 +120,19 @@ def without_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y, weight) of at most `per_class` labelled documents of each class for which
-    `learn` holds: those whose ids hash lowest. Weights make up for the classes' different shares.
+    """(id, y, weight, text) of at most `per_class` labelled documents of each class for which
+    `learn`, a condition on `labels`, holds: those whose ids hash lowest. Weights make up for the classes' different shares.
     The ids, at most twice `per_class`, are broadcast; only the sample's texts move."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & learn).groupBy(id_col).agg(F.max(label).alias("y"))
-    known = known.join(docs.where(F.col(text_col).isNotNull()).select(id_col).distinct(), id_col, "left_semi")
+    docs, labels = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels.where(learn).select(F.col(id_col).alias("id"), F.col(label).alias("y"))
+    known = labels.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    known = known.join(docs.where("text is not null").select("id").distinct(), "id", "left_semi")
     known = written(known, "labelled")
     sizes = {bool(r.y): r.n for r in known.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     parts = []
     for y in (False, True):
         n = sizes.get(y, 0)
         weight = max(n, 1) / max(min(n, per_class), 1)
-        mine = known.where((F.col("y") > 0) == y).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(per_class)
-        parts.append(mine.select(id_col, F.lit(int(y)).alias("y"), F.lit(weight).alias("weight")))
+        mine = known.where((F.col("y") > 0) == y).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(per_class)
+        parts.append(mine.select("id", F.lit(int(y)).alias("y"), F.lit(weight).alias("weight")))
     chosen = parts[0].unionByName(parts[1])
-    return docs.join(F.broadcast(chosen), id_col).groupBy(F.col(id_col).alias("id"), "y", "weight").agg(F.min(text_col).alias("text"))
+    return docs.join(F.broadcast(chosen), "id").groupBy("id", "y", "weight").agg(F.min("text").alias("text"))

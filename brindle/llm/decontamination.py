@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, numbered, table, take_up, texts, without_rows, written
+from brindle.llm.common import documents, fresh, numbered, table, take_up, texts, without_rows, written
 
 #: Words of a phrase.
 WINDOW = 10
@@ -346,9 +346,10 @@ def _merged(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows in which a phrase occurs."""
-    rows = numbered(docs, "_row")
-    bad = written(contamination(rows, items, id_col, text_col, row="_row").where("n_hit > 0").select(F.col("row_id").alias("_row")), "contaminated")
-    return without_rows(rows, bad, "_row").select(*docs.columns)
+    row = fresh(docs)
+    rows = numbered(docs, row)
+    bad = written(contamination(rows, items, id_col, text_col, row=row).where("n_hit > 0").select(F.col("row_id").alias(row)), "contaminated")
+    return without_rows(rows, bad, row).drop(row)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

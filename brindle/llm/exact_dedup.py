@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACES, attach_groups, documents, numbered, texts, without_rows, written
+from brindle.llm.common import SPACES, attach_groups, documents, fresh, numbered, texts, without_rows, written
 
 #: Characters of the normalised text under the prefix hash.
 PREFIX = 64
@@ -79,9 +79,10 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that `refine` does not keep."""
-    rows = numbered(docs, "_row")
-    gone = written(refine(rows, id_col, text_col, row="_row").where("not kept").select(F.col("row_id").alias("_row")), "dropped")
-    return without_rows(rows, gone, "_row").select(*docs.columns)
+    row = fresh(docs)
+    rows = numbered(docs, row)
+    gone = written(refine(rows, id_col, text_col, row=row).where("not kept").select(F.col("row_id").alias(row)), "dropped")
+    return without_rows(rows, gone, row).drop(row)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

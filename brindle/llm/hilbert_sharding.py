@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, numbered, with_row_id, written
+from brindle.llm.common import documents, fresh, numbered, with_row_id, written
 
 SHARDS = 16
 
@@ -113,10 +113,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """`docs` as files, one folder per shard, rows in slot order."""
-    rows = numbered(docs, "_row")
-    where = shard(rows, shards, row="_row").select(F.col("row_id").alias("_row"), "shard", "slot")
-    rows.join(where, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """`docs` as files, one folder per shard (`shard=0` and so on; `shard_=0` where `docs` itself has
+    a column of that name), rows in slot order."""
+    row, folder, slot = fresh(docs), fresh(docs, "shard"), fresh(docs, "slot")
+    rows = numbered(docs, row)
+    where = shard(rows, shards, row=row).select(F.col("row_id").alias(row), F.col("shard").alias(folder), F.col("slot").alias(slot))
+    placed = rows.join(where, row).drop(row).repartitionByRange(folder, slot).sortWithinPartitions(folder, slot)
+    placed.drop(slot).write.partitionBy(folder).parquet(path)
 
 
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

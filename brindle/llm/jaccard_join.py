@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import attach_groups, documents, numbered, smaller_batches, take_up, texts, without_rows, written
+from brindle.llm.common import attach_groups, documents, fresh, numbered, smaller_batches, take_up, texts, without_rows, written
 
 SHINGLE = 3
 
@@ -553,12 +553,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component: that of the smallest id (null ids last), of equal ids
     the first row. Rows with empty sets all stay."""
-    rows = numbered(docs, "_row")
-    found = written(similar(rows, id_col, text_col, "_row").where("n_similar > 0").select(F.col("row_id").alias("_row"), F.col(id_col).alias("id"), "component"), "similar")
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("_row").alias("row"))
-    first = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row"))
-    gone = written(found.select("_row").join(first, "_row", "left_anti"), "dropped")
-    return without_rows(rows, gone, "_row").select(*docs.columns)
+    row = fresh(docs)
+    rows = numbered(docs, row)
+    found = written(similar(rows, id_col, text_col, row).where("n_similar > 0").select("row_id", F.col(id_col).alias("id"), "component"), "similar")
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row_id").alias("row"))
+    first = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row_id"))
+    gone = written(found.select("row_id").join(first, "row_id", "left_anti").withColumnRenamed("row_id", row), "dropped")
+    return without_rows(rows, gone, row).drop(row)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -351,8 +352,54 @@ def test_pii_adds_hidden_numbers(scan):
 
 
 def test_skip_edges_link_like_tokens():
-    found = pii.tokens("id 555-3296 then (555) x 5553296 and 555-3296")
-    assert [(found[a].text, found[b].text) for a, b in pii.skips(found)] == [("555-3296", "5553296"), ("5553296", "555-3296")]
+    found = pii.tokens("id 555-3296 then (555) x 5553296 and 555-3296 in 555")
+    assert [(found[a].text, found[b].text, c) for a, b, c in pii.skips(found)] == [("555-3296", "5553296", True), ("5553296", "555-3296", True)]
+    found = pii.tokens("+1 (269) 555-3296 or 269.555.3296 on 12 or 12")
+    labels = pii._labels(found, pii.base_spans("+1 (269) 555-3296 or 269.555.3296 on 12 or 12"))
+    assert [(found[a].text, found[b].text, c) for a, b, c in pii.skips(found, labels)] == [("12", "12", False), ("555-3296", "269.555.3296", True)]
+
+
+def test_only_skip_edges_find_repeats_in_another_form():
+    shown = [f"call +1 (20{i % 10}) 555-32{i % 90 + 10} now or card 4524132264652876 here in 2024" for i in range(300)]
+    model = pii.field(pii._count([*shown, *["order 10 of 2023 with 5551234567 and 4524.1322.6465.2871"] * 300]))
+    texts = [
+        "call +1 (269) 555-3296 or later 269.555.3296 or (269) 555-3296 and not 555.123.4567",
+        "card 4524-1322-6465-2876 again 4524.1322.6465.2876 but not 4524.1322.6465.2871",
+        "number 269.555.3296 alone, and 4524.1322.6465.2876",
+    ]
+    base = [pii.base_spans(t) for t in texts]
+    found = lambda skip: [[t[a:b] for _, a, b in s] for t, s in zip(texts, pii.added(texts, base, model, skip))]
+    assert found(True) == [["269.555.3296", "(269) 555-3296"], ["4524.1322.6465.2876"], []]
+    assert found(False)[1:] == [[], []] and "269.555.3296" not in found(False)[0]
+
+
+def test_marginals_on_loops_are_near_exact():
+    rng = np.random.default_rng(1)
+    n, k = 4, pii.LABELS
+    unary, edges = rng.normal(size=(n, k)), np.array([(0, 1), (1, 2), (2, 3), (0, 3)])
+    pots = 0.5 * rng.normal(size=(len(edges), k, k))
+    want = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        w = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum(pots[e][y[a], y[b]] for e, (a, b) in enumerate(edges)))
+        for i in range(n):
+            want[i, y[i]] += w
+    assert np.abs(pii.marginals(unary, edges, pots) - want / want.sum(1, keepdims=True)).max() < 0.02
+
+
+def test_labels_travel_along_a_long_chain():
+    n = 1000
+    unary = np.zeros((n, pii.LABELS))
+    unary[0, 3] = 40.0
+    edges = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    same = np.where(np.eye(pii.LABELS) > 0, 0.0, -30.0)
+    assert (pii.marginals(unary, edges, np.repeat(same[None], n - 1, 0)).argmax(1) == 3).all()
+
+
+def test_long_runs_of_signs_take_linear_time():
+    for text in ("9" * 1_000_000, "9." * 500_000, "1 " * 500_000, "a@" * 500_000, "+1((" * 250_000):
+        began = time.process_time()
+        pii.base_spans(text)
+        assert time.process_time() - began < 2
 
 
 # 5 and 6 tokens

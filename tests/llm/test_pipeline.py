@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import decontamination, jaccard_join, toxicity
+from brindle.llm import decontamination, hilbert_sharding, jaccard_join, toxicity
 from brindle.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,20 @@ def test_stages_keep_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+CLASHING = ("_row", "_ROW_", "y", "weight", "shard", "slot", "row_id", "id", "size", "sig", "rep", "n", "score", "spans", "matches", "form", "prefix", "place", "_hot", "component", "toxic", "quality")
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.withColumns({c: F.col("doc_id") * 10 + k for k, c in enumerate(CLASHING)})
+    names = more.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, more, SF).write.parquet(str(tmp_path / str(k)))
+        more = spark.read.parquet(str(tmp_path / str(k)))
+        assert more.columns == names, name
+        assert not more.where(" or ".join(f"`{c}` <> doc_id * 10 + {i}" for i, c in enumerate(CLASHING))).limit(1).count(), name
+    hilbert_sharding.write_shards(more, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {*names, "shard_"} and back.count() == more.count() and not back.where("shard <> doc_id * 10 + 4").count()
