@@ -10,14 +10,19 @@
    own drop out here. Small ("light") sets are keyed by all fixed-size subsets (pairs) of that
    prefix; large ("heavy") sets scan inverted lists of single shingles. The boundary is the set size
    at which the estimated cost of both is least.
-4. Candidate pairs are checked exactly, in cells to which each set is sent once; cells beyond a size
-   are split in two dimensions, so that no task holds an unbounded group.
+4. Candidate pairs are checked exactly, in cells to which each set is sent once; cells beyond a number
+   of sets or of shingles are split in two dimensions and checked one after the other, so that no
+   task holds an unbounded group.
 5. Links are counted by class sizes and joined into components by label propagation.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z became a-z; with fewer than SHINGLE words the whole sequence
 is one shingle. Null, empty and blank texts have empty sets and are linked with nothing. Repeated
-rows count as documents. Null ids are never a component's id unless all of its ids are null.
-Shingles are told apart by 40 to 64 bits of hash (see `_ranges`).
+rows count as documents. Null ids are never a component's id unless all of its ids are null; of equal
+ids any row stands for the other. An empty table gives no rows. Other columns don't matter.
+
+Shingles are told apart by 64 bits of hash, which makes the join exact but for collisions: n shingles
+have n^2 / 2^65 pairs of them on average, 0.0003 for the 10^8 of a gigabyte of text, and one
+changes a count of common shingles only if both of its shingles are in the sets compared.
 """
 
 from __future__ import annotations
@@ -45,14 +50,18 @@ BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 4 << 20
 TASK_BYTES = 16 << 20
 
-#: Bits of a fingerprint within its range.
-BITS = 40
+#: Shingles that a block sends to a range, at least, where there are many ranges: blocks grow with
+#: the ranges up to MOST_BYTES, lest rows become as many as shingles.
+LEAST_SENT, MOST_BYTES = 64, 64 << 20
 
 #: One in so many subset keys, and lists, is looked at to estimate what they cost.
 PROBES, LISTS = 64, 8
 
-#: Sets in a cell of the check.
-CELL = 500
+#: Sets in a part of a cell of the check, and shingles.
+CELL, CELL_SHINGLES = 500, 2_000_000
+
+#: Bits of a cell's bitmaps at a time: 32 MB.
+BITMAP = 1 << 28
 
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -95,51 +104,81 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending values as 32-bit steps, or whole where a step is too long."""
+    """Ascending values as 32-bit or 48-bit steps, or whole where a step is too long."""
     steps = np.diff(values, prepend=values[:1])
-    if len(steps) and int(steps.max()) < 1 << 32:
+    most = int(steps.max()) if len(steps) else 0
+    if most < 1 << 32:
         return b"d" + values[:1].tobytes() + steps.astype(np.uint32).tobytes()
-    return b"w" + values.tobytes()
+    return b"e" + values[:1].tobytes() + _low(steps, 6) if most < 1 << 48 else b"w" + values.tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     if raw[:1] == b"w":
         return np.frombuffer(raw, np.uint64, offset=1)
-    steps = np.frombuffer(raw, np.uint32, offset=9).astype(np.uint64)
+    steps = np.frombuffer(raw, np.uint32, offset=9).astype(np.uint64) if raw[:1] == b"d" else _high(raw[9:], 6)
     return np.cumsum(steps, dtype=np.uint64) + np.frombuffer(raw, np.uint64, 1, 1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of at most BLOCK_BYTES of text and 65,536 rows."""
+def _low(values: np.ndarray, n: int) -> bytes:
+    """The lowest n bytes of each value."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _high(raw: bytes, n: int) -> np.ndarray:
+    whole = np.zeros((len(raw) // n, 8), np.uint8)
+    whole[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    return whole.view(np.uint64).ravel()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `size` bytes of text, and 65,536 rows at most."""
+    held, held_bytes, held_rows = [], 0, 0
     for batch in batches:
         _, offsets = bytewords.text_buffers(batch.column(1))
-        for lo, hi in bytewords.spans(offsets, BLOCK_BYTES):
+        for lo, hi in bytewords.spans(offsets, size):
             for a in range(lo, hi, 1 << 16):
-                yield batch.slice(a, min(hi - a, 1 << 16))
+                n = min(hi - a, 1 << 16)
+                weight = int(offsets[a + n] - offsets[a])
+                if held and (held_bytes + weight > size or held_rows + n > 1 << 16):
+                    yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                    held, held_bytes, held_rows = [], 0, 0
+                held.append(batch.slice(a, n))
+                held_bytes += weight
+                held_rows += n
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def _send(log_ranges: int):
     """Blocks of (row_id, text) to one row per range: the block (its first row_id), and the
     fingerprints in the range with the number of the block's document for each, ascending; and one
     row with range -1 that has the row_ids and set sizes of the block's documents."""
+    shift = np.uint64(64 - log_ranges)
+    mask = (np.uint64(1) << shift) - np.uint64(1)
+    size = min(max(BLOCK_BYTES, 6 * LEAST_SENT << log_ranges), max(MOST_BYTES, BLOCK_BYTES))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_up("sets")
-        for block in _blocks(batches):
+        for block in _blocks(batches, size):
             sets = list(_sets(block.column(1)))
             first = block.column(0)[0].as_py()
             sizes = np.array([len(s) for s in sets], np.int64)
             yield _rows([(-1, first, block.column(0).to_numpy().tobytes(), sizes.tobytes())])
             number = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-            token = np.concatenate(sets) >> np.uint64(64 - BITS - log_ranges)
+            token = np.concatenate(sets)
             del sets
             order = np.argsort(token, kind="stable")
             token, number = token[order], number[order]
-            edges = np.searchsorted(token, np.arange((1 << log_ranges) + 1, dtype=np.uint64) << np.uint64(BITS))
-            mask = np.uint64((1 << BITS) - 1)
-            out = [(r, first, _pack(token[a:b] & mask), number[a:b].tobytes()) for r, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if b > a]
-            for k in range(0, len(out), 64):
-                yield _rows(out[k : k + 64])
+            of = (token >> shift).astype(np.int64)
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            out = []
+            for r, a, b in zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(token)]):
+                out.append((r, first, _pack(token[a:b] & mask), number[a:b].tobytes()))
+                if len(out) == 64:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
 
     return work
 
@@ -149,9 +188,10 @@ def _rows(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["range", "block", "tokens", "numbers"])
 
 
-def _shared(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+def _shared(rows: list[tuple[int, int, bytes, bytes]], log_ranges: int) -> Iterator[pa.RecordBatch]:
     """For each block of some ranges: the entries whose fingerprint occurs in more than one set."""
-    whole = lambda r, t: _unpack(t) | np.uint64(r) << np.uint64(BITS)
+    shift, width = np.uint64(64 - log_ranges), _width(log_ranges)
+    whole = lambda r, t: _unpack(t) | np.uint64(r) << shift
     every = np.concatenate([whole(r, t) for r, _, t, _ in rows])
     every.sort()
     shared = np.unique(every[1:][every[1:] == every[:-1]])
@@ -167,18 +207,22 @@ def _shared(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatc
         if keep.any():
             docs = np.frombuffer(numbers, np.uint16)[keep]
             df = np.minimum(np.log2(count[k[keep]]) * 8, 255).astype(np.uint8)
-            low = np.ascontiguousarray(t[keep].view(np.uint8).reshape(-1, 8)[:, : BITS // 8])
-            out.append((block, np.uint32(r).tobytes() + low.tobytes() + df.tobytes() + docs.tobytes()))
+            out.append((block, np.uint32(r).tobytes() + _low(t[keep], width) + df.tobytes() + docs.tobytes()))
     for k in range(0, len(out), 64):
         yield _answers(out[k : k + 64])
 
 
+def _width(log_ranges: int) -> int:
+    """Bytes of a fingerprint within its range."""
+    return (64 - log_ranges + 7) // 8
+
+
 def _answers(rows: list[tuple[int, bytes]], members: bool = False) -> pa.RecordBatch:
     a, b = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([members] * len(a)), pa.array(b, pa.binary())], ["block", "members", "entries"])
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch], log_ranges: int) -> Iterator[pa.RecordBatch]:
     """All rows of a task's ranges; the rows about blocks' documents pass through."""
     take_up("answers")
     rows = []
@@ -189,7 +233,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 rows.append((r, block, tokens, numbers))
     if rows:
-        yield from _shared(rows)
+        yield from _shared(rows, log_ranges)
 
 
 def _need(size: np.ndarray) -> np.ndarray:
@@ -197,7 +241,7 @@ def _need(size: np.ndarray) -> np.ndarray:
     return (PERCENT * size + 99) // 100
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reduce(batches: Iterator[pa.RecordBatch], log_ranges: int) -> Iterator[pa.RecordBatch]:
     """Per block of a task: the sets that can have partners, with their shared shingles in global
     order, how many of these are in the prefix, and the largest frequency (eight times its log2) among those."""
     known: dict[int, bytes] = {}
@@ -209,20 +253,20 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 entries.setdefault(block, []).append(raw)
     for block in list(entries):
-        yield from _sets_of(known[block], entries.pop(block))
+        yield from _sets_of(known[block], entries.pop(block), log_ranges)
 
 
-def _sets_of(members: bytes, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _sets_of(members: bytes, blobs: list[bytes], log_ranges: int) -> Iterator[pa.RecordBatch]:
     row, size = np.frombuffer(members, np.int64).reshape(2, -1)
+    shift, width = np.uint64(64 - log_ranges), _width(log_ranges)
+    low = (np.uint64(1) << shift) - np.uint64(1)
     token, df, doc = [], [], []
     for raw in blobs:
         high = int(np.frombuffer(raw, np.uint32, 1)[0])
-        n = (len(raw) - 4) // (BITS // 8 + 3)
-        whole = np.zeros((n, 8), np.uint8)
-        whole[:, : BITS // 8] = np.frombuffer(raw, np.uint8, n * BITS // 8, 4).reshape(n, -1)
-        token.append(whole.view(np.uint64).ravel() | np.uint64(high) << np.uint64(BITS))
-        df.append(np.frombuffer(raw, np.uint8, n, 4 + n * BITS // 8))
-        doc.append(np.frombuffer(raw, np.uint16, n, 4 + n * BITS // 8 + n))
+        n = (len(raw) - 4) // (width + 3)
+        token.append(_high(raw[4 : 4 + n * width], width) & low | np.uint64(high) << shift)
+        df.append(np.frombuffer(raw, np.uint8, n, 4 + n * width))
+        doc.append(np.frombuffer(raw, np.uint16, n, 4 + n * width + n))
     token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
     count = np.bincount(doc, minlength=len(row))
     alive = (size > 1) & (count >= _need(size))
@@ -341,18 +385,19 @@ def _sampled(steps: int):
 
 def _boundary(sets: DataFrame) -> int:
     """The set size up to which keying by subsets costs less than scanning lists. A cost is a row per
-    key and per pair of entries that meet under one: estimated from one in LISTS lists, and from one in
-    PROBES subset keys over the sizes whose subsets are not already too many. The boundary moves work
-    only; any gives the same links."""
+    key and per pair of entries that meet under one, on either side: estimated from one in LISTS
+    lists, and from one in PROBES subset keys over the sizes whose subsets are not already too many.
+    Light sets just under the boundary need list keys too. The boundary moves work only; any gives
+    the same links."""
     stepped = sets.withColumn("step", _sizes(F.col("size")))
     m = F.col("prefix").cast("double")
     rows = stepped.groupBy("step").agg(F.max("size").alias("top"), F.sum(m * (m + 1) / 2).alias("subsets")).orderBy("step").collect()
     lists = {r.step: r for r in _met(stepped.mapInArrow(_single, "key long, step int"))}
-    total = LISTS * sum(r.pairs for r in lists.values())
+    total = LISTS * sum(r.keys + r.pairs for r in lists.values())
     count, last = 0.0, None
     for r in rows:
         count += r.subsets
-        if 2 * count > total:
+        if count > total:
             break
         last = r.step
     if last is None:
@@ -362,78 +407,69 @@ def _boundary(sets: DataFrame) -> int:
     for r in rows:
         if r.step > last:
             break
-        cost += 2 * r.subsets
+        cost += r.subsets
         cost += PROBES * subsets[r.step].pairs if r.step in subsets else 0
-        cost -= LISTS * lists[r.step].pairs if r.step in lists else 0
-        if cost < best:
-            best, at = cost, r.top
+        cost -= LISTS * (lists[r.step].keys + lists[r.step].pairs) if r.step in lists else 0
+        # sizes of at least PERCENT of the boundary lie in this step and the two before it
+        near = LISTS * sum(lists[k].keys for k in range(r.step - 2, r.step + 1) if k in lists)
+        if cost + near < best:
+            best, at = cost + near, r.top
     return at
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among the pairs of a task's cells."""
+    """Links among the pairs of a task's cells, which come one after the other."""
     take_up("links")
-    sets: dict[int, dict[int, tuple[int, bytes]]] = {}
-    pairs: dict[int, list[tuple[int, int]]] = {}
+    now, sets, pairs = None, {}, []
     for batch in batches:
         for cell, a, b, size, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            if cell != now:
+                if pairs:
+                    yield from _links(sets, pairs)
+                now, sets, pairs = cell, {}, []
             if tokens is not None:
-                sets.setdefault(cell, {})[a] = (size, tokens)
+                sets[a] = size, tokens
             else:
-                pairs.setdefault(cell, []).append((a, b))
-    for cell in list(pairs):
-        yield from _links(sets.pop(cell), pairs.pop(cell))
-
-
-def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens as their lowest 6 bytes if that is all they have (a leading byte tells), in their order of
-    value."""
-    for batch in batches:
-        out = []
-        for raw in batch.column(2).to_pylist():
-            t = np.sort(np.frombuffer(raw, np.uint64))
-            if len(t) and int(t[-1]) >> 48:
-                out.append(b"w" + t.tobytes())
-            else:
-                out.append(b"s" + np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row_id", "size", "tokens"])
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"w":
-        return np.frombuffer(raw, np.uint64, offset=1)
-    narrow = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 6)
-    whole = np.zeros((len(narrow), 8), np.uint8)
-    whole[:, :6] = narrow
-    return whole.view(np.uint64).ravel()
+                pairs.append((a, b))
+    if pairs:
+        yield from _links(sets, pairs)
 
 
 def _links(sets: dict[int, tuple[int, bytes]], pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """By bitmaps over the cell's shingles: a pair's common ones are the bits that both have."""
+    """By bitmaps over the cell's shingles: a pair's common ones are the bits that both have. Shingles
+    are taken some at a time, so that the bitmaps stay small."""
     rows = list(sets)
     place = {r: i for i, r in enumerate(rows)}
     size = np.array([sets[r][0] for r in rows], np.int64)
-    lists = [_wide(sets[r][1]) for r in rows]
+    lists = [np.frombuffer(sets[r][1], np.uint64) for r in rows]
     known, code = np.unique(np.concatenate(lists), return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), [len(t) for t in lists])
-    bits = np.zeros((len(rows), len(known) // 64 + 1), np.uint64)
-    np.bitwise_or.at(bits, (doc, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    del lists
     a = np.array([place[p[0]] for p in pairs])
     b = np.array([place[p[1]] for p in pairs])
-    chunk = max(1, (1 << 20) // bits.shape[1])
-    for k in range(0, len(a), chunk):
-        x, y = a[k : k + chunk], b[k : k + chunk]
-        both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
-        ok = 100 * both >= PERCENT * (size[x] + size[y] - both)
-        if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in x[ok]], pa.int64()), pa.array([rows[i] for i in y[ok]], pa.int64())], ["a", "b"])
+    both = np.zeros(len(a), np.int64)
+    width = max(64, (BITMAP // len(rows)) >> 6 << 6)
+    order = np.argsort(code, kind="stable") if len(known) > width else np.arange(len(code))
+    code, doc = code[order], doc[order]
+    for first in range(0, len(known), width):
+        i, j = np.searchsorted(code, (first, first + width)) if len(known) > width else (0, len(code))
+        c = code[i:j] - first
+        bits = np.zeros((len(rows), min(width, len(known) - first) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (doc[i:j], c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+        chunk = max(1, (1 << 20) // bits.shape[1])
+        for k in range(0, len(a), chunk):
+            both[k : k + chunk] += np.bitwise_count(bits[a[k : k + chunk]] & bits[b[k : k + chunk]]).sum(1, dtype=np.int64)
+    ok = np.flatnonzero(100 * both >= PERCENT * (size[a] + size[b] - both))
+    if len(ok):
+        names = np.array(rows, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[a[ok]]), pa.array(names[b[ok]])], ["a", "b"])
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each pair of sets that share a key after which enough shingles are left, in one
-    partition by b. The first key that a similar pair shares is followed by all else that it has in
-    common, so it passes; later keys need not. Where the keys before are the same too, the pair has
-    met there already."""
+    """(a, size_a, b, size_b), a < b: each pair of sets that share a key after which enough shingles are
+    left. The first key that a similar pair shares is followed by all else that it has in common, so
+    it passes; later keys need not. Where the keys before are the same too, the pair has met there
+    already."""
     keys = sets.mapInArrow(_keys(_boundary(sets)), "key long, row_id long, size int, left int, heavy boolean, last long")
     keys = written(keys, "keys")
     x, y = keys.alias("x"), keys.alias("y")
@@ -442,17 +478,19 @@ def candidates(sets: DataFrame) -> DataFrame:
     reach = F.least("x.left", "y.left") + 1
     fit = (low * 100 >= high * PERCENT) & (reach * (100 + PERCENT) >= (low + high) * PERCENT) & (((F.col("x.key") % 2) != 0) | F.col("x.heavy") | F.col("y.heavy"))
     new = (F.col("x.last") == 0) | (F.col("x.last") != F.col("y.last"))
-    met = x.join(y, same & fit & new).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
-    return met.repartition("b").distinct()
+    met = x.join(y, same & fit & new).select(F.col("x.row_id").alias("a"), F.col("x.size").alias("size_a"), F.col("y.row_id").alias("b"), F.col("y.size").alias("size_b"))
+    return met.distinct()
 
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: each similar pair of sets, once."""
-    # pairs meet where the first partner of their second set is
-    placed = written(candidates(sets).withColumn("lead", F.min("a").over(Window.partitionBy("b"))), "placed")
-    sent = placed.select("lead", F.col("a").alias("row")).union(placed.select("lead", F.col("b").alias("row"))).distinct()
+    found = written(candidates(sets), "candidates")
+    # pairs meet where the first partner of their second set is; counted before any b has a task
+    placed = written(found.join(found.groupBy("b").agg(F.min("a").alias("lead")), "b"), "placed")
+    sent = placed.select("lead", F.col("a").alias("row"), F.col("size_a").alias("size")).union(placed.select("lead", "b", "size_b")).distinct()
     sent = written(sent, "sent")
-    side = sent.groupBy("lead").agg(F.ceil(F.count("*") / CELL).cast("long").alias("side")).where("side > 1")
+    sides = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") / CELL_SHINGLES)).cast("long")
+    side = sent.groupBy("lead").agg(sides.alias("side")).where("side > 1")
     part = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
     one = F.coalesce("side", F.lit(1).cast("long"))
     # cells that share a number would only be checked together
@@ -461,8 +499,8 @@ def links(sets: DataFrame) -> DataFrame:
     asked = wide.select(cell(F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("cell"), "a", "b", F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("tokens"))
     spread = sent.join(side, "lead", "left").withColumn("side", one).withColumn("own", part("row")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
     where = spread.select(cell(F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("row").alias("row_id")).distinct()
-    given = where.join(sets.select("row_id", "size", "tokens").mapInArrow(_slim, "row_id long, size int, tokens binary"), "row_id").select("cell", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "size", "tokens")
-    return given.unionByName(asked).repartition("cell").mapInArrow(_check, "a long, b long")
+    given = where.join(sets.select("row_id", "size", "tokens"), "row_id").select("cell", F.col("row_id").alias("a"), F.lit(None).cast("long").alias("b"), "size", "tokens")
+    return given.unionByName(asked).repartition("cell").sortWithinPartitions("cell").mapInArrow(_check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -495,10 +533,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _ranges(rows: DataFrame) -> int:
-    """log2 of the number of ranges: it follows the amount of text, so that a range stays small and
-    fingerprints (BITS more) become longer as there are more shingles to tell apart."""
+    """log2 of the number of ranges, which follows the amount of text, so that a range stays small."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max(int(size // RANGE_BYTES).bit_length(), 4), 24)
+    return max(int(size // RANGE_BYTES).bit_length(), 4)
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
@@ -527,9 +564,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     # a range's rows meet in one task; the rows about blocks spread over all
     place = F.when(F.col("range") < 0, F.xxhash64("block")).otherwise(F.col("range").cast("long"))
     tasks = max((RANGE_BYTES << log_ranges) // TASK_BYTES, 4)
-    answered = sent.repartition(tasks, place).mapInArrow(_answer, "block long, members boolean, entries binary")
+    answered = sent.repartition(tasks, place).mapInArrow(lambda batches: _answer(batches, log_ranges), "block long, members boolean, entries binary")
     with smaller_batches(docs.sparkSession):
-        sets = written(answered.repartition(tasks, "block").mapInArrow(_reduce, "row_id long, size int, prefix int, df long, tokens binary"), "sets")
+        sets = written(answered.repartition(tasks, "block").mapInArrow(lambda batches: _reduce(batches, log_ranges), "row_id long, size int, prefix int, df long, tokens binary"), "sets")
     found = written(links(sets), "links")
     reps = classed.where("row_id = rep").select("rep", "members", "least_id")
     both = found.union(found.select("b", "a"))
