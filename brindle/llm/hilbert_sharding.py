@@ -1,20 +1,21 @@
 """Sharding along a Hilbert curve.
 
-Language, source and size are cut into at most 16 bins each at quantiles of the table, so that a hot
-value fills its own bin; the bins' cell has a place on a three-dimensional Hilbert curve. Rows are
+Language, source and size are cut into at most 16 bins each at quantiles of the table, whole values
+compared, so that a hot value fills its own bin; the bins' cell has a place on a three-dimensional Hilbert curve. Rows are
 sorted by that place, then equal texts together, then id, and the sorted run is cut into shards
 whose row counts differ by at most one. Rows near each other in all dimensions share a shard, and a
 shard's files cover few values of each.
 
-Null metadata sort first; null texts have no bytes. Repeated rows each get a slot of their own. An
-empty table gives an empty result.
+Null metadata sort first; null texts have no bytes. Repeated rows each get a slot of their own; rows
+that tie in all else go by row number. Other columns don't matter. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import documents, fresh, numbered, with_row_id, written
@@ -60,10 +61,30 @@ def curve() -> list[tuple[int, int]]:
     return [((a * side + b) * side + c, hilbert_index((a, b, c), BITS)) for a in range(side) for b in range(side) for c in range(side)]
 
 
-def as_number(value: Column) -> Column:
-    """The first seven bytes of a string as a number in the strings' order; null is -1."""
-    raw = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(raw, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def cuts(facts: DataFrame, column: str) -> list:
+    """The at most 2^BITS - 1 values that cut a column's rows into parts of equal size: the k-th is the
+    least value up to which at least k 2^-BITS of the rows lie, nulls first. Rows are counted by whole
+    value before anything moves, so a hot value is one row; the counts are summed up range by range."""
+    counted = written(facts.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(F.col(column).asc_nulls_first()).withColumn("part", F.spark_partition_id()), "values")
+    # as many rows as there are ranges
+    before, total = [], 0
+    for part, n in sorted(counted.groupBy("part").agg(F.sum("n")).collect()):
+        before.append((part, total))
+        total += n
+    if not total:
+        return []
+    spark, bins = facts.sparkSession, 1 << BITS
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy(F.col(column).asc_nulls_first()))
+    summed = counted.join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part").withColumn("upto", upto)
+    crossed = F.expr(f"floor(upto * {bins}D / {total}) > floor((upto - n) * {bins}D / {total})")
+    found = summed.where(crossed & (F.col("upto") < total)).select(column).collect()
+    return sorted((r[0] for r in found), key=lambda v: (v is not None, v))
+
+
+def _bin(column: str, edges: list) -> Column:
+    """How many cuts lie below a value; null lies below all else."""
+    above = lambda e: F.col(column).isNotNull() if e is None else F.coalesce(F.col(column) > F.lit(e), F.lit(False))
+    return sum((above(e).cast("int") for e in edges), F.lit(0))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source"), row: str | None = None) -> DataFrame:
@@ -74,20 +95,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     facts = written(
         (docs.withColumn("row_id", F.col(row)) if row else with_row_id(docs)).select(
             "row_id", F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-            as_number(F.col(dims[0])).alias("d0"), as_number(F.col(dims[1])).alias("d1"),
-        ).withColumn("d2", F.col("size")),
+            F.col(dims[0]).alias("d0"), F.col(dims[1]).alias("d1"),
+        ),
         "facts",
     )
-    steps = [k / (1 << BITS) for k in range(1, 1 << BITS)]
-    cuts = facts.agg(*(F.percentile_approx(f"d{i}", steps, 10_000).alias(f"d{i}") for i in range(DIMENSIONS))).first()
     cell = F.lit(0)
-    for i in range(DIMENSIONS):
-        # the bin of a value: how many distinct cuts lie below it
-        edges = sorted(set(cuts[f"d{i}"] or []))
-        part = sum(((F.col(f"d{i}") > e).cast("int") for e in edges), F.lit(0))
-        cell = cell * (1 << BITS) + part
+    for column in ("d0", "d1", "size"):
+        cell = cell * (1 << BITS) + _bin(column, cuts(facts, column))
     places = spark.createDataFrame(curve(), "cell int, place int")
-    placed = facts.withColumn("cell", cell).join(F.broadcast(places), "cell").drop("cell", "d0", "d1", "d2")
+    placed = facts.withColumn("cell", cell).join(F.broadcast(places), "cell").drop("cell", "d0", "d1")
     order = ["place", "text_crc32", "size", "id", "row_id"]
     run = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "run")
     # rows of each sorted partition: as many rows as there are partitions

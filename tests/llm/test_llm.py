@@ -583,6 +583,8 @@ def test_jaccard_join(scan, monkeypatch, boundary):
     ids = [rng.randrange(10_000) for _ in texts]
     ids[5], ids[6] = None, ids[4]
     monkeypatch.setattr(jaccard_join, "CELL", 4)
+    monkeypatch.setattr(jaccard_join, "CELL_SHINGLES", 300)
+    monkeypatch.setattr(jaccard_join, "BITMAP", 640)
     if boundary is not None:
         monkeypatch.setattr(jaccard_join, "_boundary", lambda sets: boundary)
     got = jaccard_join.similar(scan(texts, ids, size=1, sig="clash", rep=2)).collect()
@@ -602,10 +604,28 @@ def test_one_of_each_component_stays(scan):
 
 def test_packing():
     rng = np.random.default_rng(3)
-    for values in (np.array([5], np.uint64), np.sort(rng.integers(0, 1 << 40, 1000, np.uint64)), np.array([1, 1 << 39, 1 << 60], np.uint64), np.array([7, 7, 7], np.uint64)):
+    for values in (np.array([5], np.uint64), np.sort(rng.integers(0, 1 << 40, 1000, np.uint64)), np.array([1, 1 << 39, 1 << 47], np.uint64), np.array([1, 1 << 39, 1 << 60], np.uint64), np.array([7, 7, 7], np.uint64)):
         assert (jaccard_join._unpack(jaccard_join._pack(values)) == values).all()
 
 
+def test_bitmaps_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(jaccard_join, "BITMAP", 640)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = {i: np.unique(np.concatenate([rng.permutation(base)[: 380 if i % 2 else 310], rng.integers(0, 1 << 63, 20, np.uint64)])) for i in range(8)}
+    pairs = list(itertools.combinations(range(8), 2))
+    want = [(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))]
+    got = [p for b in jaccard_join._links({i: (len(s), s.tobytes()) for i, s in sets.items()}, pairs) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == want and 0 < len(want) < len(pairs)
+
+
+def test_blocks_grow(monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 3)), pa.array(["x" * 10, None, "y" * 15])], ["row_id", "text"]) for k in range(0, 30, 3)]
+    got = list(jaccard_join._blocks(iter(batches), 60))
+    assert [r for b in got for r in b.column(0).to_pylist()] == list(range(30))
+    assert all(b.num_rows >= 6 for b in got[:-1])
+
+
 # 10 sharding
 
 
@@ -632,6 +652,21 @@ def test_sharding(scan, n):
     assert order == sorted(order) and all([x for x, _ in sorted(v)] == list(range(len(v))) for v in shards.values())
 
 
+def test_cuts_compare_whole_values(spark):
+    rng = random.Random(4)
+    # ten sources that share their first 19 bytes, one with a third of the rows
+    names = ["https://example.com/" + c for c in "jihgfedcba"]
+    values = [rng.choice(names) for _ in range(400)] + [names[3]] * 200 + [None] * 50
+    facts = spark.createDataFrame([(v,) for v in values], "d string")
+    edges = hilbert_sharding.cuts(facts, "d")
+    order = sorted(values, key=lambda v: (v is not None, v or ""))
+    want = sorted({order[-(-k * len(order) // 16) - 1] for k in range(1, 16)} - {order[-1]}, key=lambda v: (v is not None, v))
+    assert edges == want and None in edges and len(edges) >= 6
+    bins = {r.d: r.b for r in facts.select("d", hilbert_sharding._bin("d", edges).alias("b")).distinct().collect()}
+    assert bins == {v: sum(e is None or e < v for e in edges) if v else 0 for v in set(values)}
+    assert hilbert_sharding.cuts(facts.limit(0), "d") == []
+
+
 def test_shard_files(scan, spark, tmp_path):
     docs = scan([prose(random.Random(i), 9) for i in range(40)])
     hilbert_sharding.write_shards(docs, str(tmp_path / "shards"), 4)
