@@ -1,14 +1,17 @@
 """Quality scores from random-indexing word vectors and a small network.
 
 Each word has a sparse random index vector that its hash fixes. A word's context vector is the sum
-of the index vectors of its neighbours over the whole corpus: tasks add up matrices of fixed size
-and only those are shuffled. A document's features are the pooled (mean and spread of the)
+of the index vectors of its neighbours over the whole corpus. Words are counted over the whole corpus
+first: each that makes up at least a 2^-SHARE part of all words has a vector of its own, so there are
+2^SHARE such words at most, and the vocabulary grows with the corpus up to there; rarer words share
+the vector of their first bytes. A document's features are the pooled (mean and spread of the)
 normalised context vectors of its words; a two-layer network in numpy turns them into log odds, and
 a temperature learned on documents set aside calibrates them.
 
 Words are runs of letters and digits or of other signs, case kept. Null and empty texts pool to
 zeros and get a score. Repeated rows each get theirs. Without labels of both classes every score
-is the share of good labels (0.5 without any).
+is the share of good labels (0.5 without any, as for empty tables). A score that ties with the
+threshold counts as good. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
-from brindle.llm.common import documents, labelled_sample, table, with_row_id
+from brindle.llm.common import documents, labelled_sample, table, with_row_id, written
 
-#: Words share 2^WORD_BITS vectors of DIMENSIONS numbers: 2 MB, whatever the corpus.
-WORD_BITS, DIMENSIONS = 14, 32
+#: Numbers of a vector.
+DIMENSIONS = 32
+
+#: Words of at least this share of all have their own vector: 32 MB of vectors at most.
+SHARE = 20
+
+#: Rarer words share 2^CLASS_BITS vectors by their first bytes.
+CLASS_BITS, BEGINNING = 12, 3
+
+#: Words counted together before they leave a task.
+TOGETHER = 1 << 23
 
 #: Neighbours on each side, and nonzero entries of an index vector.
 REACH, ENTRIES = 2, 2
@@ -44,37 +56,76 @@ HIDDEN, ROUNDS, RATE, DECAY = 24, 400, 0.02, 1e-4
 SIGNS = np.where(bytewords.ALNUM, 1, np.where(bytewords.NOT_SPACE, 2, 0)).astype(np.uint8)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytewords.Words, np.ndarray]]:
-    for w in bytewords.words(data, offsets, SIGNS, bytewords.SAME):
-        yield w, (w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+class Vocabulary:
+    """Rows of words in the table of vectors: frequent words by their keys, then classes of others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(keys)
+        self.rows = len(keys) + (1 << CLASS_BITS)
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytewords.Words, np.ndarray]]:
+        for w in bytewords.words(data, offsets, SIGNS, bytewords.SAME, (BEGINNING,)):
+            begins = np.where(w.prefix_hash[0] > 0, w.prefix_hash[0], w.hash)
+            row = (begins >> np.uint64(64 - CLASS_BITS)).astype(np.int64) + len(self.keys)
+            if len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, w.hash), len(self.keys) - 1)
+                row = np.where(self.keys[at] == w.hash, at, row)
+            yield w, row
+
+    def index_vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and signs of the entries of every row's index vector."""
+        names = np.concatenate([self.keys, np.arange(1 << CLASS_BITS, dtype=np.uint64)])
+        h = bytewords.mix(names[:, None] * np.uint64(ENTRIES) + np.arange(1, ENTRIES + 1, dtype=np.uint64))
+        return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """Every word is counted; those of a large enough share reach the driver."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for w in bytewords.words(*bytewords.text_buffers(batch.column(0)), SIGNS, bytewords.SAME):
+                held.append(w.hash)
+                total += len(w.hash)
+                if total >= TOGETHER:
+                    yield _tally(held)
+                    held, total = [], 0
+        if total:
+            yield _tally(held)
+
+    counts = docs.select(text_col).mapInArrow(local, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "words", compression="zstd")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") * F.lit(float(1 << SHARE)) >= F.lit(float(total))).select("word").toArrow()
+    return Vocabulary(often.column("word").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _tally(held: list[np.ndarray]) -> pa.RecordBatch:
+    word, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the entries of every word's index vector."""
-    n = 1 << WORD_BITS
-    h = bytewords.mix(np.arange(1, n * ENTRIES + 1, dtype=np.uint64)).reshape(n, ENTRIES)
-    return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
+class Vectors(NamedTuple):
+    words: Vocabulary
+    table: np.ndarray
 
 
-def gather(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Context vectors of all words of the corpus."""
+def gather(docs: DataFrame, text_col: str = "text") -> Vectors:
+    """Context vectors of all words of the corpus, normalised, in steps of 1/127."""
+    words = vocabulary(docs, text_col)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors()
-        total = np.zeros((1 << WORD_BITS) * DIMENSIONS, np.int64)
+        place, sign = words.index_vectors()
+        total = np.zeros(-(-words.rows // CHUNK) * CHUNK * DIMENSIONS, np.int64)
         for batch in batches:
-            data, offsets = bytewords.text_buffers(batch.column(0))
-            for w, word in _words(data, offsets):
+            for w, row in words.words(*bytewords.text_buffers(batch.column(0))):
                 doc = np.repeat(np.arange(w.hi - w.lo), np.diff(w.bounds))
                 for step in range(1, REACH + 1):
                     near = np.flatnonzero(doc[step:] == doc[:-step])
-                    for a, b in ((word[near], word[near + step]), (word[near + step], word[near])):
-                        row = a * DIMENSIONS
+                    for a, b in ((row[near], row[near + step]), (row[near + step], row[near])):
                         for k in range(ENTRIES):
-                            at = row + place[b, k]
-                            plus = sign[b, k] > 0
-                            total += np.bincount(at[plus], minlength=len(total))
-                            total -= np.bincount(at[~plus], minlength=len(total))
+                            np.add.at(total, a * DIMENSIONS + place[b, k], sign[b, k])
         yield from _chunks({i: c for i, c in enumerate(total.reshape(-1, CHUNK * DIMENSIONS)) if c.any()})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,30 +134,29 @@ def gather(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = np.frombuffer(zlib.decompress(packed), np.int64)
                 sums[i] = sums[i] + c if i in sums else c
-        yield from _chunks(sums)
+        for i, c in sums.items():
+            v = c.reshape(-1, DIMENSIONS).astype(float)
+            v *= 127 / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.rint(v).astype(np.int8).tobytes()], pa.binary())], ["chunk", "sums"])
 
     schema = "chunk int, sums binary"
     parts = docs.select(text_col).mapInArrow(local, schema)
-    whole = parts.repartition("chunk").mapInArrow(added, schema).collect()
-    out = np.zeros(((1 << WORD_BITS) // CHUNK, CHUNK * DIMENSIONS))
-    for r in whole:
-        out[r.chunk] = np.frombuffer(zlib.decompress(r.sums), np.int64)
-    out = out.reshape(-1, DIMENSIONS)
-    size = np.sqrt((out * out).sum(1, keepdims=True))
-    return (out / np.maximum(size, 1e-9)).astype(np.float32)
+    whole = parts.repartition("chunk").mapInArrow(added, schema).toArrow()
+    out = np.zeros((-(-words.rows // CHUNK), CHUNK * DIMENSIONS), np.int8)
+    for i, raw in zip(whole.column("chunk").to_pylist(), whole.column("sums")):
+        out[i] = np.frombuffer(raw.as_buffer(), np.int8)
+    return Vectors(words, out.reshape(-1, DIMENSIONS)[: words.rows])
 
 
 def _chunks(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if sums:
-        packed = [zlib.compress(c.astype(np.int64).tobytes(), 1) for c in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "sums"])
+    for i, c in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], ["chunk", "sums"])
 
 
-def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def pooled(vectors: Vectors, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Features of documents: mean, and mean square, of their words' vectors, and the mean's length."""
     out = np.zeros((len(offsets) - 1, 2 * DIMENSIONS + 1), np.float32)
-    squares = vectors * vectors
-    for w, word in _words(data, offsets):
+    for w, row in vectors.words.words(data, offsets):
         n = np.diff(w.bounds)
         has = np.flatnonzero(n)
         if not len(has):
@@ -114,9 +164,10 @@ def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nda
         at = w.bounds[:-1][has]
         per = n[has, None].astype(np.float32)
         rows = w.lo + has
-        for k, table in enumerate((vectors, squares)):
-            sums = np.concatenate([np.add.reduceat(table[word][:, j : j + 8], at, axis=0) for j in range(0, DIMENSIONS, 8)], 1)
-            out[rows, k * DIMENSIONS : (k + 1) * DIMENSIONS] = sums / per
+        for j in range(0, DIMENSIONS, 8):
+            x = vectors.table[row, j : j + 8].astype(np.float32) / np.float32(127)
+            out[rows, j : j + 8] = np.add.reduceat(x, at, axis=0) / per
+            out[rows, DIMENSIONS + j : DIMENSIONS + j + 8] = np.add.reduceat(x * x, at, axis=0) / per
         out[rows, -1] = np.sqrt((out[rows, :DIMENSIONS] ** 2).sum(1))
     return out
 
@@ -176,7 +227,7 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Network:
     return net._replace(temperature=min(np.exp(np.linspace(-1.5, 3, 91)), key=loss))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vectors: Vectors, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: row_id, its id and score; without a network the pooled features."""
     kind = dict(docs.dtypes)[id_col]
 
@@ -190,7 +241,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, id_col:
     return rows.mapInArrow(work, f"row_id long, id {kind}, score " + ("double" if network else "array<float>")).withColumnRenamed("id", id_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, vectors: np.ndarray, sample: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, vectors: Vectors, sample: int = SAMPLE) -> Network:
     got = labelled_sample(docs, labels, "quality", learn, sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
