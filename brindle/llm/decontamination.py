@@ -10,7 +10,9 @@ removal spans.
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z. Phrases are the runs of
 WINDOW consecutive words of an item; an item of fewer words, but some, is one phrase. Null and
 empty texts have no words; a null item id counts as the empty string; repeated items count once;
-repeated documents each get their row. Empty tables give no rows, or no hits.
+repeated documents each get their row. Empty tables give no rows, or no hits. Other columns don't
+matter. Words are told apart by 64-bit hashes: those of one length up to eight bytes for certain, any
+others but for a chance of 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ SHARD = 1_000_000
 #: Every how many symbols a suffix position is kept.
 SAMPLE = 8
 
-#: Bytes of item texts searched for in one scan; a larger benchmark is searched for in blocks.
-ITEM_BYTES = 32 << 20
+#: Bytes of item texts searched for in one scan; a larger benchmark is searched for in blocks, of
+#: which the driver has one at a time, as arrays.
+ITEM_BYTES = 16 << 20
 
 
 class WaveletTree:
@@ -167,23 +170,34 @@ class Phrases:
         per_item = []
         for block in bytewords.words(data, offsets, bytewords.ALNUM):
             per_item += [block.hash[a:b] for a, b in zip(block.bounds, block.bounds[1:])]
-        self.vocabulary = np.unique(np.concatenate(per_item)) if per_item else np.empty(0, np.uint64)
-        found: dict[tuple[int, ...], set[str]] = {}
-        for (name, _), hashes in zip(items, per_item):
-            ids = (np.searchsorted(self.vocabulary, hashes) + 1).tolist()
-            for i in range(max(len(ids) - window, 0) + 1 if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(name)
-        self.names = sorted({name for names in found.values() for name in names})
-        number = {name: i for i, name in enumerate(self.names)}
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.backward = np.zeros((len(found), window), np.int32)
-        for i, p in enumerate(found):
-            self.backward[i, : len(p)] = p[::-1]
-        self.items = [np.array(sorted(number[x] for x in names)) for names in found.values()]
+        every = np.concatenate([np.empty(0, np.uint64), *per_item])
+        self.vocabulary, ids = np.unique(every, return_inverse=True)
+        ids = np.append(ids + 1, np.zeros(window, np.int64)).astype(np.int32)
+        size = np.array([len(h) for h in per_item], np.int64)
+        count = np.where(size > 0, np.maximum(size - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(size)), count)
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - (np.cumsum(size) - size), count)
+        length = np.minimum(size[item], window)
+        # backward, the last symbol first; zeros after the first one of an item that is shorter
+        step = np.arange(window)
+        rows = np.where(step < length[:, None], ids[start[:, None] + np.maximum(length[:, None] - 1 - step, 0)], 0).astype(np.int32)
+        self.backward, which = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.backward > 0).sum(1)
+        known, number = np.unique(np.array([name for name, _ in items], dtype=object), return_inverse=True)
+        self.names = known.tolist()
+        # the items of phrase i are members[first[i]:first[i + 1]]
+        pairs = np.unique(which.reshape(-1).astype(np.int64) * max(len(known), 1) + number[item])
+        self.members = pairs % max(len(known), 1)
+        self.first = np.searchsorted(pairs, np.arange(len(self.lengths) + 1) * max(len(known), 1))
         self.shortest = int(self.lengths.min(initial=window))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
+    def items(self, phrases: np.ndarray) -> list[str]:
+        """Names of the items that have any of these phrases, sorted."""
+        found = np.concatenate([self.members[self.first[p] : self.first[p + 1]] for p in phrases.tolist()])
+        return [self.names[i] for i in np.unique(found).tolist()]
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int64)
         at = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
@@ -275,7 +289,7 @@ def _scan(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             docs, at = np.unique(doc, return_index=True)
             for d, a, b in zip(docs.tolist(), at.tolist(), [*at[1:].tolist(), len(doc)]):
                 mine = np.unique(phrase[a:b])
-                items[d] = [phrases.names[i] for i in np.unique(np.concatenate([phrases.items[p] for p in mine]))]
+                items[d] = phrases.items(mine)
                 start = word[a:b] - first[d]
                 marks = np.zeros(n_words[d] + 1, np.int64)
                 np.add.at(marks, start, 1)
@@ -303,22 +317,24 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = texts(docs, id_col, text_col, row)
     if blocks > 1 and not row:
         rows = written(rows, "numbered", compression="zstd")
-    parts = []
+    found = None
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
         phrases = Phrases([(r.name, r.text) for r in mine.collect()], window)
         scan = lambda batches, phrases=phrases: _scan(phrases, batches)
-        parts.append(rows.mapInArrow(scan, f"row_id long, id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"))
-    return (parts[0] if blocks == 1 else _merged(rows, parts)).withColumnRenamed("id", id_col)
+        part = rows.mapInArrow(scan, f"row_id long, id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+        if blocks == 1:
+            return part.withColumnRenamed("id", id_col)
+        part = written(part.where("n_hit > 0"), "hits")
+        found = part if found is None else found.unionByName(part)
+        del phrases, scan
+    return _merged(rows, found).withColumnRenamed("id", id_col)
 
 
-def _merged(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
+def _merged(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """The results of several item blocks as one: hits are counted again over the union of spans."""
-    kind = dict(parts[0].dtypes)["id"]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    found = every.where("n_hit > 0").groupBy("row_id").agg(
+    kind = dict(rows.dtypes)["id"]
+    found = hits.groupBy("row_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
