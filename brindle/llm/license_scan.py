@@ -4,8 +4,9 @@ A text's units are the whole text and, where it has more than one line, each lin
 lines. A unit's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z; its bigrams are the distinct pairs of
 neighbouring words. Dice is twice the shared bigrams over the sum of both counts. For a threshold t
 only templates whose count is between t/(2-t) and (2-t)/t of the unit's can reach it, and a unit
-must share at least t/(2-t) of the template's: units and templates beyond these bounds are pruned
-before any count of distinct bigrams is taken.
+must share at least t/(2-t) of the template's. A unit with fewer bigrams than a template's lower bound
+is not compared with it at all; of the others the shared bigrams are counted, and a unit's own distinct
+ones only if it shares enough, which the upper bound then prunes.
 
 A unit's licence is that of its best template (ties: the first name); it counts from the threshold
 on. Whole texts and lines count whatever else matches. Runs find notices wrapped over several lines
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bytewords
 from brindle.llm.common import documents, with_row_id
-from brindle.llm.license_texts import TEMPLATES
+from brindle.llm.license_full import FULL
+from brindle.llm.license_texts import TEMPLATES as NOTICES
+
+TEMPLATES = NOTICES + FULL
 
 THRESHOLD = 0.8
 
@@ -55,8 +59,9 @@ class Templates:
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         self.of = pairs[:, 1]
         self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.known) + 1))
-        # shared bigrams that a unit needs at least, whatever its own count
+        # shared bigrams that a unit needs at least, whatever its own count; and of its own at most
         self.least = np.ceil(self.sizes * threshold / (2 - threshold) - 1e-9)
+        self.most = np.floor(self.sizes * (2 - threshold) / threshold + 1e-9)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.known >> np.uint64(48)).astype(np.int64)] = True
 
@@ -68,13 +73,25 @@ class Templates:
         return at[hit], k[hit]
 
     def within_reach(self, unit: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, template, shared bigrams) where a unit shares as many as the template asks for."""
-        at, number = self.lookup(bigrams)
-        seen = np.unique(unit[at] * len(self.known) + number)
-        of_unit, number = seen // len(self.known), seen % len(self.known)
+        """(unit, template, shared bigrams) where a unit, of which `unit` has ascending numbers, shares as
+        many as the template asks for. Units with fewer bigrams than the smallest template asks for,
+        and templates that ask for more than the unit has, drop out before anything is counted."""
+        none = np.empty(0, np.int64)
+        if not len(unit):
+            return none, none, none
+        edge = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))
+        room = np.diff(edge, append=len(unit))
+        room = np.repeat(room, room)
+        large = np.flatnonzero(room >= self.least.min())
+        at, number = self.lookup(bigrams[large])
+        at = large[at]
         per = self.first[number + 1] - self.first[number]
         where = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per - self.first[number], per)
-        key, shared = np.unique(np.repeat(of_unit, per) * len(self.names) + self.of[where], return_counts=True)
+        template = self.of[where]
+        fits = self.least[template] <= np.repeat(room[at], per)
+        place, template, number = np.repeat(at, per)[fits], template[fits], np.repeat(number, per)[fits]
+        seen = np.unique((unit[place] * len(self.names) + template) * len(self.known) + number)
+        key, shared = np.unique(seen // len(self.known), return_counts=True)
         u, t = key // len(self.names), key % len(self.names)
         keep = shared >= self.least[t]
         return u[keep], t[keep], shared[keep]
@@ -88,6 +105,8 @@ class Templates:
             if i not in size_of:
                 a, b = np.searchsorted(unit, (i, i + 1))
                 size_of[i] = len(np.unique(bigrams[a:b]))
+            if not self.least[j] <= size_of[i] <= self.most[j]:
+                continue
             dice = 2 * n / (size_of[i] + int(self.sizes[j]))
             if dice >= self.threshold and (i not in best or dice > best[i][0]):
                 best[i] = (dice, j)

@@ -106,6 +106,15 @@ def test_license_scan(scan):
     assert license_scan.scan(scan([])).count() == 0
 
 
+def test_long_licences_within_longer_texts(scan):
+    before = "\n".join(" ".join(f"w{9 * i + k}" for k in range(9)) for i in range(600))
+    texts = [f"{before}\n{body}\n{before}" if k % 2 else body for k, (_, body) in enumerate(license_scan.FULL)]
+    for (name, body), r in zip(license_scan.FULL, sorted(license_scan.scan(scan(texts)).collect(), key=lambda r: r.doc_id)):
+        best = max(r.matches, key=lambda m: m.dice)
+        assert best.license == name and best.dice > 0.99
+        assert best.line == (601 if r.doc_id % 2 else 0) and (not best.line or best.last >= 598 + len(body.split("\n")))
+
+
 def test_license_wrapped_within_a_longer_text(scan):
     rng = random.Random(11)
     mit, apache = (next(t for n, t in TEMPLATES if n == name) for name in ("MIT", "Apache-2.0"))
@@ -121,7 +130,7 @@ def test_license_wrapped_within_a_longer_text(scan):
 
 def test_license_runs_against_brute_force():
     rng = random.Random(3)
-    known = license_scan.Templates(threshold=0.7)
+    known = license_scan.Templates(TEMPLATES, threshold=0.7)
 
     def grams(lines):
         w = [(x, i) for i, line in enumerate(lines) for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower())]
@@ -160,7 +169,7 @@ def test_license_runs_against_brute_force():
 
 def test_license_pruning_loses_nothing():
     rng = random.Random(5)
-    known = license_scan.Templates(threshold=0.6)
+    known = license_scan.Templates(TEMPLATES, threshold=0.6)
 
     def grams(text):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
@@ -209,7 +218,7 @@ def test_filters_when_the_cut_into_tasks_changes_between_scans(spark, tmp_path,
         assert ids(decontamination.drop_contaminated(docs, items)) == sorted(set(range(60)) - kind(2))
         assert ids(exact_dedup.drop_duplicates(docs)) == sorted(set(range(60)) - kind(1))
         assert ids(jaccard_join.drop_similar(docs)) == sorted(set(range(60)) - (kind(0) - {0}) - kind(1))
-        model = toxicity.train(["fine words here"] * 1 + [f"fine {i}" for i in range(40)] + [f"zzgrawlix {i}" for i in range(40)], np.array([0] * 41 + [1] * 40), np.ones(81))
+        model = toxicity.Model(toxicity.Features(np.array([bytewords.word_hash(b"zzgrawlix")], np.uint64)), np.array([20.0]), -12.0)
         monkeypatch.setattr(toxicity, "fit", lambda *_: model)
         assert ids(toxicity.drop_toxic(docs, labels([]))) == sorted(set(range(60)) - kind(3))
         got = {r.doc_id: r.n_similar for r in jaccard_join.similar(docs).collect()}
@@ -498,13 +507,25 @@ def test_quality(scan, labels):
 def test_index_vectors_add_up(scan):
     docs = scan(["a b c", "c b"])
     got = quality.gather(docs)
-    place, sign = quality.index_vectors()
-    bucket = lambda w: bytewords.word_hash(w) >> (64 - quality.WORD_BITS)
+    assert len(got.words.keys) == 3
+    place, sign = got.words.index_vectors()
+    row = {w: int(np.searchsorted(got.words.keys, bytewords.word_hash(w))) for w in (b"a", b"b", b"c")}
     want = np.zeros(quality.DIMENSIONS)
     for near in (b"b", b"c"):  # the words around "a"
-        for p, s in zip(place[bucket(near)], sign[bucket(near)]):
+        for p, s in zip(place[row[near]], sign[row[near]]):
             want[p] += s
-    assert got[bucket(b"a")] == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
+    assert got.table[row[b"a"]] / 127 == pytest.approx(want / np.linalg.norm(want), abs=0.005)
+
+
+def test_rare_words_share_vectors_by_their_beginnings(scan, monkeypatch):
+    monkeypatch.setattr(quality, "SHARE", 4)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["often", "common"]) + f" rarely{rng.randrange(50)}" for _ in range(30)) for _ in range(10)]
+    words = quality.vocabulary(scan(texts))
+    assert words.keys.tolist() == sorted(map(bytewords.word_hash, (b"often", b"common")))
+    raw = b"often rarely1 rarely2 seldom"
+    row = next(words.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))[1]
+    assert row[0] < 2 <= row[1] == row[2] != row[3] >= 2
 
 
 def test_toxicity(scan, labels):
