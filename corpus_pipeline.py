@@ -2,7 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
 as the next stage's docs. All but the last return documents' own columns. A filtering stage's result
-does not depend on its number of tasks, and rows that it doesn't reject are left as they are.
+does not depend on its number of tasks, and rows that it doesn't reject are left as they are, with
+whatever other columns docs has, under any names. Rows repeat, ids and texts may be null; an empty
+table stays one. What a stage wrote to the shared folder on its way goes once its result is written.
 """
 
 from __future__ import annotations
@@ -14,35 +16,41 @@ from pyspark.sql import functions as F
 
 from brindle.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
 from brindle.llm.common import documents, shared_dir, table
+from brindle.sources.shared import remove, scratch
 from brindle.sources.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose noisy-or over sentences reaches the threshold."""
+    """Without documents whose noisy-or over sentences reaches the threshold, which a tie does. Null and
+    empty texts stay, and where no labels of both classes are known, all documents."""
     ship(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal up to white space, the one with the smallest id."""
+    """Of texts equal up to white space (null is equal to empty), the one with the smallest id; null ids
+    come last, and of equal ids the first row stays."""
     ship(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of 3-word-shingle Jaccard 0.7 or more, the one with the smallest id."""
+    """Of documents joined by links of 3-word-shingle Jaccard 0.7 or more, the one with the smallest id;
+    null ids come last, and of equal ids the first row stays. Texts without words all stay."""
     ship(spark)
     return jaccard_join.drop_similar(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents in which a benchmark passage occurs."""
+    """Without documents in which a benchmark passage occurs. Null and empty texts stay, as does all
+    without a benchmark."""
     ship(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (byte-level BPE) and n_tokens of every text."""
+    """doc_id, ids (byte-level BPE) and n_tokens of every text: none for null and empty texts, a row for
+    each repeated one. Other columns are left out."""
     ship(spark)
     return byte_bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
@@ -63,6 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     path = f"{shared_dir(spark)}/brindle-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        if k:
+            remove(spark, f"{path}/{k - 1}")
         docs = spark.read.parquet(f"{path}/{k}")
     return docs
