@@ -116,7 +116,7 @@ class Bfr:
     points stay as a table. Every point's membership is kept: compressed clusters that later merge,
     or end up in a discard cluster, take their points along by a mapping of cluster numbers."""
 
-    def __init__(self, k: int, small: int = 20, sample: int = 5000, rounds: int = 20) -> None:
+    def __init__(self, k: int, small: int = 20, sample: int = 5000, rounds: int = 200) -> None:
         self.k, self.small, self.sample, self.rounds = k, small, sample, rounds
         self.discard: dict[int, Cluster] = {}
         self.compressed: dict[int, Cluster] = {}
@@ -126,6 +126,12 @@ class Bfr:
         self.reports: list[tuple[int, int, int, int, int, int]] = []
         self._next = 0
 
+    def _members(self) -> DataFrame:
+        every = self.members[0]
+        for m in self.members[1:]:
+            every = every.unionByName(m)
+        return every
+
     def _absorb(self, clustered: DataFrame, into: dict[int, Cluster]) -> None:
         for r in statistics(clustered).collect():
             new = Cluster(r.n, r.sum, r.sumsq)
@@ -199,11 +205,16 @@ class Bfr:
                 if merged:
                     break
 
-    def finish(self) -> DataFrame:
-        """(id, cluster) of all points; -1 for outliers. Compressed clusters join the nearest discard
-        cluster within the limit."""
+    def finish(self, points: DataFrame | None = None) -> DataFrame:
+        """(id, cluster) of all points. With `points` (id, features), every compressed or retained point
+        joins the discard cluster whose centre is nearest. Without, compressed clusters join the nearest
+        discard cluster within the limit, and -1 stands for outliers."""
         if not self.discard:
             raise ValueError("no points")
+        if points is not None:
+            fixed = written(self._members().where("kind = 'discard'").select("id", F.col("number").alias("cluster")), "fixed")
+            left = points.join(fixed.select("id"), "id", "left_anti")
+            return fixed.unionByName(assigned(left, {k: c.centre for k, c in self.discard.items()}).select("id", "cluster"))
         limit = 2 * len(next(iter(self.discard.values())).sum) ** 0.5
         for number, c in sorted(self.compressed.items()):
             gap, best = min((_apart(d, c), k) for k, d in self.discard.items())
@@ -219,9 +230,7 @@ class Bfr:
 
         numbers = {n: final("compressed", n) for n in range(self._next)}
         to = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)) if numbers else F.create_map(F.lit(-2), F.lit(-1))
-        every = self.members[0]
-        for m in self.members[1:]:
-            every = every.unionByName(m)
+        every = self._members()
         cluster = F.when(F.col("kind") == "discard", F.col("number")).otherwise(F.coalesce(F.try_element_at(to, F.col("number")), F.lit(-1)))
         out = every.select("id", cluster.alias("cluster"))
         return out.unionByName(self.retained.select("id", F.lit(-1).alias("cluster"))) if self.retained is not None else out

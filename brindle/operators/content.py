@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import STOP_WORDS, cleaned_words, stripped
 from brindle.operators.similarity import cosine_pairs
+from brindle.sources.shared import written
 
 #: Share of all tokens that a word must make up to be in the vocabulary.
 RARE = 1e-6
@@ -21,9 +22,11 @@ def term_counts(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> D
 def tf_idf(counts: DataFrame, rare: float = RARE) -> DataFrame:
     """(key, word, tfidf): counts over the key's largest count, times log2 of keys over keys with the
     word. Words rarer than `rare` of all tokens are left out."""
+    counts = written(counts, "counts")
     total = counts.agg(F.sum("n").alias("tokens"), F.count_distinct("key").alias("keys"))
     per_word = counts.groupBy("word").agg(F.sum("n").alias("all"), F.count("*").alias("df"))
     kept = per_word.join(F.broadcast(total), F.col("all") >= F.col("tokens") * F.lit(rare)).select("word", F.log2(F.col("keys") / F.col("df")).alias("idf"))
+    # few words beside the counts of them by key
     known = counts.join(kept, "word")
     top = known.groupBy("key").agg(F.max("n").alias("top"))
     return known.join(top, "key").select("key", "word", F.round(F.col("n") / F.col("top") * F.col("idf"), 9).alias("tfidf"))

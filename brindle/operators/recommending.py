@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.similarity import lsh_pairs
+from brindle.sources.shared import written
 
 
 def _pearson() -> Column:
@@ -36,11 +37,18 @@ def item_model(ratings: DataFrame, least: int = 3) -> DataFrame:
     return _similar(_co_rated(ratings, "business_id", "user_id"), least)
 
 
-def user_model(ratings: DataFrame, least: int = 3, near: DataFrame | None = None) -> DataFrame:
+def user_model(ratings: DataFrame, least: int = 3, near: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """Pairs of users with at least `least` co-rated businesses and positive Pearson correlation;
-    `near` (a, b) restricts them to candidates. Users with fewer ratings can't have any."""
+    `near` (a, b) restricts them to candidates, `of` (user_id) to pairs with one of these users. Users
+    with fewer ratings can't have any."""
     active = ratings.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("user_id")
     rated = ratings.join(active, "user_id", "left_semi")
+    if near is None and of is not None:
+        some = rated.join(of.distinct().withColumn("asked", F.lit(True)), "user_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        some = written(some, "rated")
+        x = some.select("business_id", F.col("user_id").alias("id1"), F.col("stars").alias("x"), F.col("asked").alias("p"))
+        y = some.select("business_id", F.col("user_id").alias("id2"), F.col("stars").alias("y"), F.col("asked").alias("q"))
+        return _similar(x.join(y, "business_id").where("id1 < id2 and (p or q)").select("id1", "id2", "x", "y"), least)
     if near is None:
         return _similar(_co_rated(rated, "user_id", "business_id"), least)
     x = rated.select(F.col("user_id").alias("id1"), "business_id", F.col("stars").alias("x"))
@@ -74,11 +82,11 @@ def user_predictions(ratings: DataFrame, model: DataFrame, wanted: DataFrame, n:
     similar users' ratings of the business from their averages over what they co-rated with the user.
     Unknown users, and pairs without any weight, give no row."""
     average = ratings.groupBy("user_id").agg(F.avg("stars").alias("own_avg"))
-    linked = _both_ways(model)
+    linked = _both_ways(written(model, "model"))
     rated = ratings.select("business_id", F.col("user_id").alias("other"), F.col("stars").alias("r"))
     asked = wanted.distinct().join(rated, "business_id").join(linked.withColumnRenamed("own", "user_id"), ["user_id", "other"])
     place = F.row_number().over(Window.partitionBy("user_id", "business_id").orderBy(F.desc("sim"), "other"))
-    top = asked.withColumn("place", place).where(F.col("place") <= n)
+    top = written(asked.withColumn("place", place).where(F.col("place") <= n).drop("place"), "top")
     # averages over co-rated businesses only for the pairs of users that are in use
     used = top.select("user_id", "other").distinct()
     mine = ratings.select("user_id", F.col("business_id").alias("both"))

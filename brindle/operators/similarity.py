@@ -40,6 +40,11 @@ def jaccard_pairs(pairs: DataFrame, least: float, counted: DataFrame | None = No
     return both.select("a", "b", sim.alias("sim")).where(F.col("sim") >= least)
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """By the first key, then the second."""
+    return pairs.orderBy("a", "b")
+
+
 def signatures(pairs: DataFrame, constants: tuple = LSH) -> DataFrame:
     """key and signature (array of long): the least hash of each function over the items' dense
     numbers. One aggregation with a minimum per function; no row is multiplied by the functions."""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from brindle.operators import clustering as C
 from brindle.plans.registry import query
+from brindle.sources import readers
 from brindle.sources import tables as T
+from brindle.sources.shared import shared_path
+from brindle.streaming import stateful
 
 _K = 10
 
@@ -50,7 +53,7 @@ def bfr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_farthest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.kmeans(T.points(spark, sf_dir), _K, rounds=10)
+    return C.kmeans(T.points(spark, sf_dir), _K)
 
 
 @query()
@@ -58,22 +61,38 @@ def kmeans_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.kmeans_builtin(T.points(spark, sf_dir), _K).select("id", "cluster")
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> C.Bfr:
+    """Three chunks by id, each a file of a stream."""
+    points, folder = T.points(spark, sf_dir), shared_path(spark, "chunks")
+    for chunk in range(3):
+        points.where(F.col("id") % 3 == chunk).coalesce(1).write.mode("append").parquet(folder)
+    bfr = C.Bfr(_K, small=5)
+    stream = readers.file_stream(spark, folder, points.schema, "*.parquet")
+    stateful.each_chunk(stream, lambda batch, _: bfr.add(batch)).awaitTermination()
+    return bfr
+
+
 @query()
 def bfr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three chunks by id."""
-    points = T.points(spark, sf_dir)
-    bfr = C.Bfr(_K, small=5)
-    for chunk in range(3):
-        bfr.add(points.where(F.col("id") % 3 == chunk))
-    return bfr.finish()
+    return _streamed(spark, sf_dir).finish()
+
+
+@query()
+def bfr_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every point in the end in a discard cluster."""
+    return _streamed(spark, sf_dir).finish(T.points(spark, sf_dir))
+
+
+@query("SELECT i::INT AS round_id, (SELECT count(*) FROM embeddings WHERE vec_id % 3 < i) AS n_points FROM range(1, 4) t(i)")
+def bfr_round_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that a round's report has in all: each is discarded, compressed or retained."""
+    got = bfr_rounds(spark, sf_dir)
+    return got.select("round_id", (F.col("n_discard_points") + F.col("n_compressed_points") + F.col("n_retained_points")).alias("n_points"))
 
 
 @query()
 def bfr_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of each round."""
-    points = T.points(spark, sf_dir)
-    bfr = C.Bfr(_K, small=5)
-    for chunk in range(3):
-        bfr.add(points.where(F.col("id") % 3 == chunk))
+    bfr = _streamed(spark, sf_dir)
     names = "round_id int, n_discard_clusters long, n_discard_points long, n_compressed_clusters long, n_compressed_points long, n_retained_points long"
     return spark.createDataFrame(bfr.reports, names)

@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import predicting as P
 from brindle.plans.registry import query
+from brindle.sources import readers, sinks
 from brindle.sources import tables as T
+from brindle.sources.shared import shared_path, written
 
-_FEATURES = ["u_avg", "b_avg", "u_n", "b_n"]
+_USER = ["user_avg", "yelping_since", "useful", "funny", "cool", "elite", "friends", "fans", "compliment_hot", "compliment_writer", "compliment_photos"]
+_BUSINESS = ["biz_avg", "latitude", "longitude"]
 
 
-def _rows(ratings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Features of pairs from the training ratings; null for unseen users and businesses."""
-    user = ratings.groupBy("user_id").agg(F.avg("stars").alias("u_avg"), F.count("*").cast("double").alias("u_n"))
-    business = ratings.groupBy("business_id").agg(F.avg("stars").alias("b_avg"), F.count("*").cast("double").alias("b_n"))
-    return wanted.join(user, "user_id", "left").join(business, "business_id", "left")
+def _users(spark: SparkSession, sf_dir: str, ratings: DataFrame) -> DataFrame:
+    """Eleven features of every user. Names stand for friends and elite years; orders and what they cost
+    for activity and compliments."""
+    orders = T.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("yelping_since"), F.count("*").cast("double").alias("useful"),
+        F.count_if(F.col("o_orderstatus") == "F").cast("double").alias("funny"), F.count_if(F.col("o_orderstatus") == "O").cast("double").alias("cool"),
+        F.max("o_totalprice").alias("compliment_hot"), F.min("o_totalprice").alias("compliment_writer"), F.round(F.avg("o_totalprice"), 6).alias("compliment_photos"),
+    )
+    names = lambda n: F.array_join(F.array_repeat(F.lit("x"), n.cast("int")), ",")
+    key = F.col("c_custkey")
+    users = T.table(spark, sf_dir, "customer").select(key.alias("user_id"), names(key % 5).alias("friends"), names(key % 3).alias("elite"), F.col("c_acctbal").alias("fans"))
+    got = P.user_features(users.join(orders, "user_id", "left"), P.averages(ratings, "user_id", "user_avg"))
+    return got.select("user_id", *(F.col(c).cast("double").alias(c) for c in _USER))
+
+
+def _businesses(spark: SparkSession, sf_dir: str, ratings: DataFrame) -> DataFrame:
+    """Three features of every business; size and price stand for its place."""
+    parts = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("business_id"), F.col("p_size").cast("double").alias("latitude"), F.col("p_retailprice").alias("longitude"))
+    return parts.join(P.averages(ratings, "business_id", "biz_avg"), "business_id", "left").select("business_id", *_BUSINESS)
+
+
+def _rows(spark: SparkSession, sf_dir: str, ratings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The fourteen features of pairs; averages are of the training ratings, null for unseen users and
+    businesses."""
+    return wanted.join(_users(spark, sf_dir, ratings), "user_id", "left").join(_businesses(spark, sf_dir, ratings), "business_id", "left")
 
 
 def _als(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +48,16 @@ def _als(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.als_predictions(P.als_model(train), T.test_pairs(spark, sf_dir), train)
 
 
-def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
+    """The trees over three fifths of the training pairs, and what they are asked about."""
     train = T.ratings(spark, sf_dir, train=True)
-    model = P.tree_pipeline(_FEATURES, trees=20).fit(_rows(train, train))
-    return P.tree_predictions(model, _rows(train, T.test_pairs(spark, sf_dir)))
+    rows = _rows(spark, sf_dir, train, train)
+    learn = written(rows.where(F.pmod(F.xxhash64("user_id", "business_id"), F.lit(5)) < 3), "learn")
+    return P.tree_pipeline(_USER + _BUSINESS).fit(learn), _rows(spark, sf_dir, train, T.test_pairs(spark, sf_dir))
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.tree_predictions(*_fitted(spark, sf_dir))
 
 
 @query()
@@ -45,14 +75,32 @@ def blend_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.blend(_als(spark, sf_dir), _trees(spark, sf_dir))
 
 
+@query()
+def saved_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models are trained, saved, loaded by another reader, and blended."""
+    train, wanted = T.ratings(spark, sf_dir, train=True), T.test_pairs(spark, sf_dir)
+    trees, rows = _fitted(spark, sf_dir)
+    where = shared_path(spark, "models")
+    sinks.model(trees, f"{where}/trees")
+    sinks.model(P.als_model(train), f"{where}/factors")
+    als = P.als_predictions(readers.factors(f"{where}/factors"), wanted, train)
+    return P.blend(als, P.tree_predictions(readers.fitted(f"{where}/trees"), rows))
+
+
 @query(
     f"""WITH r AS (SELECT * FROM {T.TRAIN}), w AS (SELECT * FROM {T.TEST}),
-    u AS (SELECT user_id, avg(stars) AS u_avg, count(*)::DOUBLE AS u_n FROM r GROUP BY ALL), b AS (SELECT business_id, avg(stars) AS b_avg, count(*)::DOUBLE AS b_n FROM r GROUP BY ALL)
-    SELECT w.user_id, w.business_id, round(u_avg, 6) AS u_avg, round(b_avg, 6) AS b_avg, u_n, b_n FROM w LEFT JOIN u USING (user_id) LEFT JOIN b USING (business_id)"""
+    u AS (SELECT user_id, avg(stars) AS user_avg FROM r GROUP BY ALL), b AS (SELECT business_id, avg(stars) AS biz_avg FROM r GROUP BY ALL),
+    o AS (SELECT o_custkey AS user_id, (2020 - year(min(o_orderdate)))::DOUBLE AS yelping_since, count(*)::DOUBLE AS useful, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS funny,
+        count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS cool, max(o_totalprice) AS compliment_hot, min(o_totalprice) AS compliment_writer, avg(o_totalprice) AS compliment_photos FROM orders GROUP BY ALL)
+    SELECT w.user_id, w.business_id, round(user_avg, 6) AS user_avg, round(biz_avg, 6) AS biz_avg, yelping_since, useful, funny, cool, (c_custkey % 3)::DOUBLE AS elite, (c_custkey % 5)::DOUBLE AS friends,
+        c_acctbal AS fans, compliment_hot, compliment_writer, round(compliment_photos, 4) AS compliment_photos, p_size::DOUBLE AS latitude, p_retailprice AS longitude
+    FROM w LEFT JOIN customer ON c_custkey = w.user_id LEFT JOIN o ON o.user_id = c_custkey LEFT JOIN part ON p_partkey = w.business_id
+    LEFT JOIN u ON u.user_id = c_custkey LEFT JOIN b ON b.business_id = p_partkey"""
 )
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(T.ratings(spark, sf_dir, train=True), T.test_pairs(spark, sf_dir))
-    return rows.select("user_id", "business_id", F.round("u_avg", 6).alias("u_avg"), F.round("b_avg", 6).alias("b_avg"), "u_n", "b_n")
+    rows = _rows(spark, sf_dir, T.ratings(spark, sf_dir, train=True), T.test_pairs(spark, sf_dir))
+    shown = {"user_avg": 6, "biz_avg": 6, "compliment_photos": 4}
+    return rows.select("user_id", "business_id", *(F.round(c, shown[c]).alias(c) if c in shown else F.col(c) for c in _USER + _BUSINESS))
 
 
 @query(

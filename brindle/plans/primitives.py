@@ -153,7 +153,18 @@ def points_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("n"), F.round(F.sum(F.col("features")[0]), 6).alias("first"), F.round(F.sum(F.element_at("features", -1)), 6).alias("last"))
 
 
-@query()
+def _farthest(k: int) -> str:
+    """Each centre in turn: the point farthest from its nearest centre so far, the least id at ties."""
+    steps = ["p AS (SELECT * FROM " + T.POINTS + ")", "c0 AS (SELECT 0 AS place, id, features FROM p WHERE id = 0)"]
+    for i in range(1, k):
+        steps.append(
+            f"c{i} AS (SELECT * FROM c{i - 1} UNION ALL SELECT {i}, id, features FROM (SELECT p.id, p.features, min(list_distance(p.features, c.features)) AS d FROM p, c{i - 1} c GROUP BY ALL) "
+            f"WHERE d > 0 QUALIFY row_number() OVER (ORDER BY d DESC, id) = 1)"
+        )
+    return f"WITH {', '.join(steps)} SELECT place, features AS centre FROM c{k - 1}"
+
+
+@query(_farthest(5))
 def farthest_first_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = farthest_first(T.points(spark, sf_dir), 5, first=0)
     return spark.createDataFrame(sorted(found.items()), "place int, centre array<double>")

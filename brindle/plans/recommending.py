@@ -11,6 +11,7 @@ from brindle.operators import recommending as R
 from brindle.operators.similarity import LSH
 from brindle.plans.registry import query
 from brindle.sources import tables as T
+from brindle.sources.shared import written
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _COUNTS = rf"""
@@ -49,8 +50,8 @@ def content_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s JOIN m USING (user_id, business_id) JOIN a USING (user_id) JOIN b USING (business_id) WHERE common / (sqrt(a.n) * sqrt(b.n)) >= 0.01"""
 )
 def content_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    business = C.profiles(C.tf_idf(C.term_counts(_texts(spark, sf_dir))))
-    seen = _seen(spark, sf_dir)
+    business = written(C.profiles(C.tf_idf(C.term_counts(_texts(spark, sf_dir)))), "profiles")
+    seen = written(_seen(spark, sf_dir), "seen")
     got = C.predicted(C.user_profiles(seen, business), business, seen)
     return got.select("user_id", "business_id", F.round("sim", 6).alias("sim"))
 
@@ -89,7 +90,18 @@ def cf_user_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.user_model(T.ratings(spark, sf_dir, train=True)).select("id1", "id2", F.round("sim", 6).alias("sim"))
 
 
-@query()
+_NEAR = (
+    "h(f, a, b, m) AS (VALUES " + ", ".join(f"({i}, {a}, {b}, {m})" for i, (a, b, m) in enumerate(LSH[:33])) + "), "
+    "d AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS x FROM (SELECT DISTINCT business_id AS item FROM r)), "
+    "g AS (SELECT user_id AS key, f, min((h.a * x + h.b) % h.m) AS v FROM r JOIN d ON item = business_id, h GROUP BY ALL), "
+    "n AS (SELECT user_id AS key, count(*) AS n FROM r GROUP BY ALL), "
+    "z AS (SELECT x.user_id AS id1, y.user_id AS id2, count(*) AS common FROM r x JOIN r y ON x.business_id = y.business_id AND x.user_id < y.user_id GROUP BY ALL), "
+    "near AS MATERIALIZED (SELECT DISTINCT id1, id2 FROM z JOIN n i ON i.key = id1 JOIN n j ON j.key = id2 JOIN g p ON p.key = id1 JOIN g q ON q.key = id2 AND q.f = p.f AND q.v = p.v "
+    "WHERE common >= 3 AND common / (i.n + j.n - common) >= 0.01)"
+)
+
+
+@query(f"WITH {_TRAIN}, {_model('user_id', 'business_id')}, {_NEAR} SELECT id1, id2, round(sim, 6) AS sim FROM m JOIN near USING (id1, id2)")
 def cf_user_sim_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash candidates only: a subset of cf_user_sim."""
     return R.lsh_user_model(T.ratings(spark, sf_dir, train=True), LSH[:33]).select("id1", "id2", F.round("sim", 6).alias("sim"))
@@ -105,6 +117,24 @@ def cf_user_sim_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM k JOIN c USING (user_id, other) JOIN a ON a.user_id = k.user_id GROUP BY ALL"""
 )
 def cf_user_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = T.ratings(spark, sf_dir, train=True)
-    got = R.user_predictions(train, R.user_model(train), T.test_pairs(spark, sf_dir))
+    train = written(T.ratings(spark, sf_dir, train=True), "ratings")
+    wanted = written(T.test_pairs(spark, sf_dir), "wanted")
+    got = R.user_predictions(train, R.user_model(train, of=wanted.select("user_id")), wanted)
+    return got.select("user_id", "business_id", F.round("stars", 6).alias("stars"))
+
+
+@query(
+    f"""WITH {_TRAIN}, {_model('user_id', 'business_id')}, {_NEAR}, l2 AS (SELECT own, other, sim FROM l JOIN near ON id1 = least(own, other) AND id2 = greatest(own, other)),
+    a AS (SELECT user_id, avg(stars) AS own FROM r GROUP BY ALL),
+    k AS MATERIALIZED (SELECT w.user_id, w.business_id, l2.other, r.stars AS s, l2.sim FROM w JOIN r ON r.business_id = w.business_id JOIN l2 ON l2.own = w.user_id AND l2.other = r.user_id
+          QUALIFY row_number() OVER (PARTITION BY w.user_id, w.business_id ORDER BY sim DESC, l2.other) <= 50),
+    c AS (SELECT u.user_id, u.other, avg(y.stars) AS co FROM (SELECT DISTINCT user_id, other FROM k) u JOIN r x ON x.user_id = u.user_id
+          JOIN r y ON y.user_id = u.other AND y.business_id = x.business_id GROUP BY ALL)
+    SELECT k.user_id, business_id, round(any_value(own) + sum((s - co) * sim) / sum(abs(sim)), 6) AS stars
+    FROM k JOIN c USING (user_id, other) JOIN a ON a.user_id = k.user_id GROUP BY ALL"""
+)
+def cf_user_predict_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MinHash model through to predictions."""
+    train = written(T.ratings(spark, sf_dir, train=True), "ratings")
+    got = R.user_predictions(train, R.lsh_user_model(train, LSH[:33]), T.test_pairs(spark, sf_dir))
     return got.select("user_id", "business_id", F.round("stars", 6).alias("stars"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +25,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         return f
 
     return add
-
-
-for _part in ("exploring", "primitives", "baskets", "similarity", "recommending", "graphs", "sketching", "streams", "clusters", "predicting"):
-    import_module(f"brindle.plans.{_part}")

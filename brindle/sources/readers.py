@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 
@@ -35,9 +41,11 @@ def points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def point_chunks(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
-    """(path, points) of each text file of a folder, in path order."""
-    files = spark.read.text(folder).select(F.input_file_name().alias("f")).distinct()
-    return [(r.f, points(spark, r.f)) for r in files.orderBy("f").collect() if ".txt" in r.f]
+    """(path, points) of each text file of a folder, in path order. The files are listed, not read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = sorted(s.getPath().toString() for s in found if s.isFile() and ".txt" in s.getPath().getName())
+    return [(name, points(spark, name)) for name in names]
 
 
 def word_list(spark: SparkSession, path: str, more: tuple[str, ...] = ("", " ")) -> DataFrame:
@@ -62,6 +70,21 @@ def pair_model(spark: SparkSession, path: str, names: tuple[str, str]) -> DataFr
     return spark.read.schema(f"{a} string, {b} string, sim double").json(path).select(F.col(a).alias("id1"), F.col(b).alias("id2"), "sim")
 
 
+def fitted(path: str) -> PipelineModel:
+    """A pipeline of fitted stages, as its sink saved it."""
+    return PipelineModel.load(path)
+
+
+def factors(path: str) -> ALSModel:
+    """A factor model, as its sink saved it."""
+    return ALSModel.load(path)
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A model or result that was saved as a table."""
+    return spark.read.parquet(path)
+
+
 def socket_lines(spark: SparkSession, host: str, port: int, schema: str) -> DataFrame:
     """A stream of JSON lines from a TCP server."""
     lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
@@ -73,6 +96,57 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType | str, patt
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).format(kind).load(folder)
 
 
+class PushReader(SimpleDataSourceStreamReader):
+    """What a push source has put into its buffer, one JSON status per entry, in order of arrival. The
+    buffer is a folder that its receiver appends `<number>.json` files to, numbered from 0; offsets
+    are numbers, so that a batch can be read again."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        at = start["at"]
+        while os.path.exists(f"{self.folder}/{at}.json"):
+            at += 1
+        return self.readBetweenOffsets(start, {"at": at}), {"at": at}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        # the engine copies the iterator, so it can't be a generator
+        found = []
+        for at in range(start["at"], end["at"]):
+            with open(f"{self.folder}/{at}.json", encoding="utf-8") as f:
+                found += [(line.rstrip("\n"),) for line in f if line.strip()]
+        return iter(found)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class PushSource(DataSource):
+    """`spark.readStream.format("push").option("path", buffer)`: a column `value`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "push"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def simpleStreamReader(self, schema: StructType) -> PushReader:
+        return PushReader(self.options["path"])
+
+
+def pushed_tags(spark: SparkSession, buffer: str, language: str = "en") -> DataFrame:
+    """A stream of the hashtags of a push source's statuses in one language."""
+    spark.dataSource.register(PushSource)
+    schema = "id long, lang string, entities struct<hashtags: array<struct<text: string>>>"
+    status = spark.readStream.format("push").option("path", buffer).load().select(F.from_json("value", schema).alias("s")).select("s.*")
+    return status.where(F.col("lang") == language).select("id", F.posexplode("entities.hashtags.text").alias("place", "tag"))
+
+
 def tag_stream(spark: SparkSession, folder: str, kind: str = "json") -> DataFrame:
     """Statuses of a push source as it lands them in a folder: one row per hashtag of each."""
     schema = "id long, lang string, entities struct<hashtags: array<struct<text: string>>>"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path there."""
-    return f"{shared_dir(spark)}/brindle-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brindle-{what}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes when it ends: results must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:

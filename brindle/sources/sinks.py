@@ -31,18 +31,29 @@ def tuple_lines(result: DataFrame, path: str) -> None:
 
 
 def flags_line(flags: DataFrame, order: str, flag: str, path: str) -> None:
-    """Booleans as T and F on one line, in order. The line is one value, so the result must be small."""
+    """Booleans as T and F in order, a space after each, without line ends: the files in the order of
+    their names are one line. Rows are sorted in ranges; no task has them all."""
     letter = F.when(F.col(flag), "T").otherwise("F")
-    line = flags.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), letter.alias("v")))), lambda x: x.v), " ").alias("value"))
-    line.write.mode("overwrite").text(path)
+    flags.repartitionByRange(order).sortWithinPartitions(order).select(letter.alias("value")).write.mode("overwrite").option("lineSep", " ").text(path)
 
 
 def itemset_text(itemsets: DataFrame, path: str) -> None:
-    """Itemsets of each phase by size, each as a parenthesised tuple, sizes in lines of their own."""
-    one = F.concat(F.lit("('"), F.array_join("itemset", "', '"), F.lit("')"))
-    lines = itemsets.select("phase", F.size("itemset").alias("k"), one.alias("t")).groupBy("phase", "k").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("line"))
-    text = F.when(F.col("k") == 1, F.concat("phase", F.lit(":\n"), "line")).otherwise(F.col("line"))
-    lines.orderBy("phase", "k").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Itemsets of each phase by size, each as a parenthesised tuple, sizes in lines of their own: the
+    files in the order of their names are the text. Rows are sorted in ranges, and an itemset brings
+    what goes before it (a comma; a line end where a size begins; the phase's name where that does),
+    for which the first itemset of each size is looked up: a row per phase and size."""
+    # the closing sign of a tuple serves as the end of a row
+    one = F.concat(F.lit("('"), F.array_join("itemset", "', '"), F.lit("'"))
+    rows = itemsets.select("phase", F.size("itemset").alias("k"), one.alias("t"))
+    starts = rows.groupBy("phase", "k").agg(F.min("t").alias("first"))
+    begins = starts.join(starts.groupBy("phase").agg(F.min("k").alias("least")), "phase")
+    whole = starts.agg(F.min("phase").alias("top"))
+    marked = rows.join(F.broadcast(begins), ["phase", "k"]).join(F.broadcast(whole.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    name = F.concat(F.when(F.col("phase") == F.col("top"), "").otherwise("\n"), F.col("phase"), F.lit(":\n"))
+    before = F.when(F.col("t") != F.col("first"), ",").when(F.col("k") == F.col("least"), name).otherwise("\n")
+    order = ["phase", "k", "t"]
+    text = marked.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat(before, "t").alias("value"))
+    text.write.mode("overwrite").option("lineSep", ")").text(path)
 
 
 def model(fitted: MLWritable, path: str) -> None:
@@ -53,6 +64,20 @@ def table(result: DataFrame, path: str) -> None:
     result.write.mode("overwrite").parquet(path)
 
 
+def appended_csv(batch: DataFrame, path: str, number: int) -> None:
+    """What a window, a tag or a round adds to a result: a CSV part with a header under `path`, in a
+    folder of the batch's number, so that a batch that runs again replaces its own part only."""
+    batch.write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
+
+
+def stream_to_csv(stream: DataFrame, path: str, mode: str = "update", every: str | None = None) -> StreamingQuery:
+    """Each micro-batch's result as `appended_csv`: all that there is now, or a batch at every so long
+    a time, until it is stopped."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(stream.sparkSession, "stream"))
+    out = out.trigger(processingTime=every) if every else out.trigger(availableNow=True)
+    return out.foreachBatch(lambda batch, number: appended_csv(batch, path, number)).start()
+
+
 def stream_to_table(stream: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
     """All that a stream has now, as Parquet. In complete mode each batch replaces the one before."""
     spark = stream.sparkSession

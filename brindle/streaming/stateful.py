@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators.sketches import flajolet_martin, sample
@@ -44,6 +44,44 @@ def reservoir(stream: DataFrame, key: str, path: str, n: int = 100) -> Streaming
     return _each(stream, step)
 
 
+def each_chunk(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Calls `step` with every chunk that a stream has now, one after the other."""
+    return _each(stream, step)
+
+
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Lets a query run for so long at most, then stops it. Whether it had ended by itself."""
+    ended = query.awaitTermination(seconds)
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
+class StopOn(StreamingQueryListener):
+    """Stops other queries of the session once one fails with an error for which `wanted` holds (a rate
+    limit's code, for instance): a failed source then leaves no consumer running."""
+
+    def __init__(self, spark: SparkSession, wanted: Callable[[str], bool]) -> None:
+        super().__init__()
+        self.spark, self.wanted, self.reason = spark, wanted, None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception and self.wanted(event.exception):
+            self.reason = event.exception
+            for query in self.spark.streams.active:
+                if str(query.runId) != str(event.runId):
+                    query.stop()
+
+
 def distinct_windows(stream: DataFrame, column: str, path: str, size: str = "30 seconds", step: str = "10 seconds") -> StreamingQuery:
     """Per sliding window: the distinct values, exact and by Flajolet-Martin, over all batches so far.
     The state is each window's distinct values."""

@@ -37,3 +37,9 @@ def sessions(stream: DataFrame, gap: str, by: tuple[str, ...], *measures: Column
 def first_only(stream: DataFrame, key: str) -> DataFrame:
     """Each key once within the watermark."""
     return stream.dropDuplicatesWithinWatermark([key])
+
+
+def shown(windows: DataFrame, pattern: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """With the bounds of windows as text."""
+    bounds = {c: F.date_format(c, pattern) for c in ("window_start", "window_end") if c in windows.columns}
+    return windows.withColumns(bounds)

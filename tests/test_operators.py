@@ -15,6 +15,7 @@ from brindle.operators.ordering import dense_index
 from brindle.plans import baskets
 from brindle.plans.registry import QUERIES
 from brindle.sources import readers, sinks
+from brindle.streaming import stateful
 
 BASKETS = [("1", "a"), ("1", "b"), ("1", "c"), ("2", "a"), ("2", "b"), ("3", "a"), ("3", "c"), ("4", "b")]
 TRIANGLES = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")]
@@ -195,8 +196,8 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.flags_line(spark.createDataFrame([(2, False), (1, True)], "i int, f boolean"), "i", "f", str(tmp_path / "flags"))
     sinks.json_object(spark.createDataFrame([(1, "x")], "A int, B string"), str(tmp_path / "object"))
     text = lambda d: "".join(p.read_text() for p in sorted((tmp_path / d).glob("part-*")))
-    assert text("sets") == "Candidates:\n('a'),('b')\n('a', 'b')\n"
-    assert (text("lines"), text("flags"), text("object")) == ("'a', 1.5\n", "T F\n", '{"A":1,"B":"x"}\n')
+    assert text("sets") == "Candidates:\n('a'),('b')\n('a', 'b')"
+    assert (text("lines"), text("flags"), text("object")) == ("'a', 1.5\n", "T F ", '{"A":1,"B":"x"}\n')
 
 
 def test_tag_stream(spark, tmp_path):
@@ -205,3 +206,79 @@ def test_tag_stream(spark, tmp_path):
     out = str(tmp_path / "out")
     sinks.stream_to_table(readers.tag_stream(spark, str(tmp_path / "in")), out).awaitTermination()
     assert sorted(r.tag for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_girvan_newman_on_tables(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    small = {tuple(r) for r in graphs.girvan_newman(edges).collect()}
+    monkeypatch.setattr(graphs, "SMALL", 0)
+    assert {tuple(r) for r in graphs.girvan_newman(edges).collect()} == small == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
+
+
+def test_minhash_recall(spark):
+    from brindle.operators import similarity
+    from brindle.sources import tables
+
+    pairs = similarity.sets(tables.purchases(spark, "/root/testdata/sf0.01"))
+    exact = {(r.a, r.b) for r in similarity.jaccard_pairs(pairs, 0.055).collect()}
+    found = {(r.a, r.b) for r in similarity.lsh_pairs(pairs, 0.055).collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact)
+
+
+def test_push_source_and_appended_windows(spark, tmp_path):
+    buffer, out = tmp_path / "buffer", str(tmp_path / "out")
+    buffer.mkdir()
+    say = lambda n, lang, *tags: (buffer / f"{n}.json").write_text('{"id": %d, "lang": "%s", "entities": {"hashtags": [%s]}}\n' % (n, lang, ", ".join('{"text": "%s"}' % t for t in tags)))
+    say(0, "en", "a", "b")
+    say(1, "de", "c")
+    counted = lambda: readers.pushed_tags(spark, str(buffer)).groupBy("tag").count()
+    query = sinks.stream_to_csv(counted(), out, every="1 second")
+    assert not stateful.run_for(query, 15) and not query.isActive
+    rows = spark.read.option("header", True).csv(out)
+    assert {(r.tag, r["count"]) for r in rows.collect()} == {("a", "1"), ("b", "1")}
+
+
+def test_other_queries_stop_when_one_fails(spark, tmp_path):
+    rate = spark.readStream.format("rate").load()
+    listener = stateful.StopOn(spark, lambda error: "420" in error)
+    spark.streams.addListener(listener)
+    try:
+        going = rate.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "a")).start()
+
+        def fail(batch, number):
+            raise RuntimeError("status 420")
+
+        failing = rate.writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "b")).start()
+        with pytest.raises(Exception, match="420"):
+            failing.awaitTermination(60)
+        assert going.awaitTermination(60) and "420" in listener.reason
+    finally:
+        spark.streams.removeListener(listener)
+        for query in spark.streams.active:
+            query.stop()
+
+
+def test_models_come_back(spark, tmp_path):
+    ratings = spark.createDataFrame([(u, b, float(1 + (u + b) % 5)) for u in range(8) for b in range(8)], "user_id int, business_id int, stars double")
+    model = predicting.als_model(ratings, rounds=3)
+    sinks.model(model, str(tmp_path / "als"))
+    ask = ratings.select("user_id", "business_id")
+    shown = lambda m: sorted(map(tuple, m.transform(ask).collect()))
+    assert shown(readers.factors(str(tmp_path / "als"))) == shown(model)
+    trees = predicting.tree_pipeline(["user_id", "business_id"], trees=2, least=1).fit(ratings.select(F.col("user_id").cast("double"), F.col("business_id").cast("double"), "stars"))
+    sinks.model(trees, str(tmp_path / "trees"))
+    rows = ask.select(F.col("user_id").cast("double"), F.col("business_id").cast("double"))
+    assert sorted(map(tuple, predicting.tree_predictions(readers.fitted(str(tmp_path / "trees")), rows).collect())) == sorted(map(tuple, predicting.tree_predictions(trees, rows).collect()))
+
+
+def test_what_is_written_within_goes(spark):
+    from pathlib import Path
+
+    from brindle.sources.shared import scratch, shared_dir, written
+
+    with scratch(spark):
+        before = set(Path(shared_dir(spark)).iterdir())
+        written(spark.range(3), "gone")
+        made = set(Path(shared_dir(spark)).iterdir()) - before
+        assert len(made) == 1
+    assert not next(iter(made)).exists()
