@@ -72,11 +72,6 @@ def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def blend_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.blend(_als(spark, sf_dir), _trees(spark, sf_dir))
-
-
-@query()
-def saved_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models are trained, saved, loaded by another reader, and blended."""
     train, wanted = T.ratings(spark, sf_dir, train=True), T.test_pairs(spark, sf_dir)
     trees, rows = _fitted(spark, sf_dir)
