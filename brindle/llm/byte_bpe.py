@@ -7,6 +7,8 @@ time linear in the text; appending continues where it stopped, and an edit re-en
 the piece boundaries meet again.
 
 Null counts as empty and gives no tokens; special strings are ordinary text; every text is whole.
+Repeated rows each give theirs, an empty table none. Each text has one encoding, so nothing ties.
+Columns other than id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ it lets through for nothing merely costs one more hash, so the result does not d
 
 Null texts count as empty and are equal to empty ones. Of equal texts the row with the smallest id
 stays (null ids come last); of repeated rows with equal ids just one stays. An empty table gives an
-empty result.
+empty result. Other columns don't matter, whatever their names; `drop_duplicates` keeps them. Asked
+for digests, as its query is, it hashes every text, survivor or not.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Each word starts as a linked list of symbols; a heap holds the rank and place of
 that may merge. The lowest rank, leftmost at ties, is popped and merged until none is left. A word's
 count is its initial symbols minus its merges; the sum over a text is its count.
 
-Null counts as empty: no bytes, no tokens. Texts are whole, words of any length included.
+Null counts as empty: no bytes, no tokens. Texts are whole, words of any length included. Repeated
+rows each give theirs, an empty table none. Columns other than id and text don't matter, whatever
+their names.
 """
 
 from __future__ import annotations
