@@ -4,7 +4,9 @@
    on a class is one set, so copies cost nothing.
 2. Every shingle's document frequency is counted exactly. Blocks of documents send their shingles,
    sorted and packed, to ranges of the hash space; a range answers each block with the shingles that
-   other sets have too. Shingles of one set only can't be shared and never travel again.
+   other sets have too. Shingles of one set only can't be shared and never travel again. Of a shingle
+   that many of a block's documents have, only their number goes to its range, so that a hot one
+   gives its range a few entries a block.
 3. Under the order (frequency in steps of an eighth of its log2, hash) two sets of Jaccard >= t share a shingle among the first
    s - ceil(t s) + 1 of each, and two shingles among one more. Sets in which those are all of their
    own drop out here. Small ("light") sets are keyed by all fixed-size subsets (pairs) of that
@@ -57,6 +59,9 @@ LEAST_SENT, MOST_BYTES = 64, 64 << 20
 #: One in so many subset keys, and lists, is looked at to estimate what they cost.
 PROBES, LISTS = 64, 8
 
+#: A shingle that so many documents of a block have goes to its range as a count.
+HOT = 8
+
 #: Sets in a part of a cell of the check, and shingles.
 CELL, CELL_SHINGLES = 500, 2_000_000
 
@@ -150,9 +155,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _send(log_ranges: int):
-    """Blocks of (row_id, text) to one row per range: the block (its first row_id), and the
-    fingerprints in the range with the number of the block's document for each, ascending; and one
-    row with range -1 that has the row_ids and set sizes of the block's documents."""
+    """Blocks of (row_id, text) to one or two rows per range: the block (its first row_id), and the
+    fingerprints in the range, ascending, with the number of the block's document for each (n), or
+    for hot ones with the count of the block's documents (h). Two rows stay with the block: -1 has
+    the row_ids and set sizes of its documents, -2 the hot fingerprints and who has them."""
     shift = np.uint64(64 - log_ranges)
     mask = (np.uint64(1) << shift) - np.uint64(1)
     size = min(max(BLOCK_BYTES, 6 * LEAST_SENT << log_ranges), max(MOST_BYTES, BLOCK_BYTES))
@@ -169,12 +175,19 @@ def _send(log_ranges: int):
             del sets
             order = np.argsort(token, kind="stable")
             token, number = token[order], number[order]
-            of = (token >> shift).astype(np.int64)
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            first_of = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
+            times = np.diff(first_of, append=len(token))
+            hot = times >= HOT
             out = []
-            for r, a, b in zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(token)]):
-                out.append((r, first, _pack(token[a:b] & mask), number[a:b].tobytes()))
-                if len(out) == 64:
+            if hot.any():
+                every, counts = np.repeat(hot, times), times[hot].astype(np.uint32)
+                tokens = token[first_of[hot]]
+                yield _rows([(-2, first, tokens.tobytes(), counts.tobytes() + number[every].tobytes())])
+                token, number = token[~every], number[~every]
+                out += [(r, first, _pack(tokens[a:b] & mask), b"h" + counts[a:b].tobytes()) for r, a, b in _cut(tokens, shift)]
+            for r, a, b in _cut(token, shift):
+                out.append((r, first, _pack(token[a:b] & mask), b"n" + number[a:b].tobytes()))
+                if len(out) >= 64:
                     yield _rows(out)
                     out = []
             if out:
@@ -183,6 +196,13 @@ def _send(log_ranges: int):
     return work
 
 
+def _cut(token: np.ndarray, shift: np.uint64) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of ascending tokens."""
+    of = (token >> shift).astype(np.int64)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    return zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(token)])
+
+
 def _rows(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     a, b, c, d = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["range", "block", "tokens", "numbers"])
@@ -192,24 +212,35 @@ def _shared(rows: list[tuple[int, int, bytes, bytes]], log_ranges: int) -> Itera
     """For each block of some ranges: the entries whose fingerprint occurs in more than one set."""
     shift, width = np.uint64(64 - log_ranges), _width(log_ranges)
     whole = lambda r, t: _unpack(t) | np.uint64(r) << shift
-    every = np.concatenate([whole(r, t) for r, _, t, _ in rows])
+    light = [whole(r, t) for r, _, t, n in rows if n[:1] == b"n"]
+    hot = [(whole(r, t), np.frombuffer(n, np.uint32, offset=1)) for r, _, t, n in rows if n[:1] == b"h"]
+    every = np.concatenate([np.empty(0, np.uint64), *light])
     every.sort()
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    del light
+    # shared: twice among the light entries, or hot anywhere
+    known = np.concatenate([np.empty(0, np.uint64), *(t for t, _ in hot)])
+    counts = np.concatenate([np.empty(0, np.uint32), *(c for _, c in hot)])
+    shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], known]))
     if not len(shared):
         return
     count = np.searchsorted(every, shared, "right") - np.searchsorted(every, shared)
-    del every
+    count = count + np.bincount(np.searchsorted(shared, known), weights=counts, minlength=len(shared))
+    del every, known, counts, hot
+    step = np.minimum(np.log2(count) * 8, 255).astype(np.uint8)
     out = []
     for r, block, packed, numbers in rows:
         t = whole(r, packed)
         k = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
         keep = shared[k] == t
         if keep.any():
-            docs = np.frombuffer(numbers, np.uint16)[keep]
-            df = np.minimum(np.log2(count[k[keep]]) * 8, 255).astype(np.uint8)
-            out.append((block, np.uint32(r).tobytes() + _low(t[keep], width) + df.tobytes() + docs.tobytes()))
-    for k in range(0, len(out), 64):
-        yield _answers(out[k : k + 64])
+            head, low, df = np.uint32(r).tobytes(), _low(t[keep], width), step[k[keep]].tobytes()
+            docs = np.frombuffer(numbers, np.uint16, offset=1)[keep].tobytes() if numbers[:1] == b"n" else b""
+            out.append((block, _LIGHT if docs else _HOT, head + low + df + docs))
+        if len(out) == 64:
+            yield _answers(out)
+            out = []
+    if out:
+        yield _answers(out)
 
 
 def _width(log_ranges: int) -> int:
@@ -217,19 +248,26 @@ def _width(log_ranges: int) -> int:
     return (64 - log_ranges + 7) // 8
 
 
-def _answers(rows: list[tuple[int, bytes]], members: bool = False) -> pa.RecordBatch:
-    a, b = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([members] * len(a)), pa.array(b, pa.binary())], ["block", "members", "entries"])
+#: What a row for a block holds: shared fingerprints with a document for each; the block's documents;
+#: who has its hot fingerprints; hot fingerprints' frequencies.
+_LIGHT, _MEMBERS, _OWN, _HOT = range(4)
+
+
+def _answers(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    block, kind, raw = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(raw, pa.binary())], ["block", "kind", "entries"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], log_ranges: int) -> Iterator[pa.RecordBatch]:
-    """All rows of a task's ranges; the rows about blocks' documents pass through."""
+    """All rows of a task's ranges; the rows that stay with blocks pass through."""
     take_up("answers")
     rows = []
     for batch in batches:
         for r, block, tokens, numbers in zip(*(c.to_pylist() for c in batch.columns)):
-            if r < 0:
-                yield _answers([(block, tokens + numbers)], True)
+            if r == -1:
+                yield _answers([(block, _MEMBERS, tokens + numbers)])
+            elif r == -2:
+                yield _answers([(block, _OWN, np.int64(len(tokens)).tobytes() + tokens + numbers)])
             else:
                 rows.append((r, block, tokens, numbers))
     if rows:
@@ -244,29 +282,40 @@ def _need(size: np.ndarray) -> np.ndarray:
 def _reduce(batches: Iterator[pa.RecordBatch], log_ranges: int) -> Iterator[pa.RecordBatch]:
     """Per block of a task: the sets that can have partners, with their shared shingles in global
     order, how many of these are in the prefix, and the largest frequency (eight times its log2) among those."""
-    known: dict[int, bytes] = {}
-    entries: dict[int, list[bytes]] = {}
+    held: dict[int, list[list[bytes]]] = {}
     for batch in batches:
-        for block, about, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            if about:
-                known[block] = raw
-            else:
-                entries.setdefault(block, []).append(raw)
-    for block in list(entries):
-        yield from _sets_of(known[block], entries.pop(block), log_ranges)
+        for block, kind, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(block, [[], [], [], []])[kind].append(raw)
+    for block in list(held):
+        yield from _sets_of(*held.pop(block), log_ranges)
 
 
-def _sets_of(members: bytes, blobs: list[bytes], log_ranges: int) -> Iterator[pa.RecordBatch]:
-    row, size = np.frombuffer(members, np.int64).reshape(2, -1)
+def _sets_of(light: list[bytes], members: list[bytes], own: list[bytes], hot: list[bytes], log_ranges: int) -> Iterator[pa.RecordBatch]:
+    row, size = np.frombuffer(members[0], np.int64).reshape(2, -1)
     shift, width = np.uint64(64 - log_ranges), _width(log_ranges)
     low = (np.uint64(1) << shift) - np.uint64(1)
-    token, df, doc = [], [], []
-    for raw in blobs:
+
+    def entries(raw: bytes, each: int) -> tuple[int, np.ndarray, np.ndarray]:
         high = int(np.frombuffer(raw, np.uint32, 1)[0])
-        n = (len(raw) - 4) // (width + 3)
-        token.append(_high(raw[4 : 4 + n * width], width) & low | np.uint64(high) << shift)
-        df.append(np.frombuffer(raw, np.uint8, n, 4 + n * width))
+        n = (len(raw) - 4) // each
+        return n, _high(raw[4 : 4 + n * width], width) & low | np.uint64(high) << shift, np.frombuffer(raw, np.uint8, n, 4 + n * width)
+
+    token, df, doc = [np.empty(0, np.uint64)], [np.empty(0, np.uint8)], [np.empty(0, np.uint16)]
+    for raw in light:
+        n, t, f = entries(raw, width + 3)
+        token.append(t)
+        df.append(f)
         doc.append(np.frombuffer(raw, np.uint16, n, 4 + n * width + n))
+    for raw in own:
+        n = int(np.frombuffer(raw, np.int64, 1)[0]) // 8
+        t, times = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
+        _, tokens, steps = zip(*(entries(h, width + 1) for h in hot))
+        tokens, steps = np.concatenate(tokens), np.concatenate(steps)
+        order = np.argsort(tokens)
+        f = steps[order][np.searchsorted(tokens[order], t)]
+        token.append(np.repeat(t, times))
+        df.append(np.repeat(f, times))
+        doc.append(np.frombuffer(raw, np.uint16, offset=8 + 12 * n))
     token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
     count = np.bincount(doc, minlength=len(row))
     alive = (size > 1) & (count >= _need(size))
@@ -564,7 +613,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     # a range's rows meet in one task; the rows about blocks spread over all
     place = F.when(F.col("range") < 0, F.xxhash64("block")).otherwise(F.col("range").cast("long"))
     tasks = max((RANGE_BYTES << log_ranges) // TASK_BYTES, 4)
-    answered = sent.repartition(tasks, place).mapInArrow(lambda batches: _answer(batches, log_ranges), "block long, members boolean, entries binary")
+    answered = sent.repartition(tasks, place).mapInArrow(lambda batches: _answer(batches, log_ranges), "block long, kind int, entries binary")
     with smaller_batches(docs.sparkSession):
         sets = written(answered.repartition(tasks, "block").mapInArrow(lambda batches: _reduce(batches, log_ranges), "row_id long, size int, prefix int, df long, tokens binary"), "sets")
     found = written(links(sets), "links")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -640,6 +641,27 @@ def test_bitmaps_in_parts(monkeypatch):
     assert got == want and 0 < len(want) < len(pairs)
 
 
+def test_hot_shingles_go_as_counts(monkeypatch):
+    rng = random.Random(9)
+    texts = ["every document begins like this " + prose(rng, rng.randrange(2, 30)) + rng.choice(["", " and ends like that one"]) for _ in range(60)] + [None, "", "every document begins like this"]
+    texts[20:40] = [t + " more" for t in texts[:20]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 21)), pa.array(texts[k : k + 21])], ["row_id", "text"]) for k in (0, 21, 42)]
+    found = {}
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 2000)
+    for hot in (2, 5, 10**6):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        sent = list(jaccard_join._send(4)(iter(batches)))
+        assert hot > 100 or any(r["numbers"][:1] == b"h" for b in sent for r in b.to_pylist() if r["range"] >= 0)
+        answers = list(jaccard_join._answer(iter(sent), 4))
+        found[hot] = sorted((r["row_id"], r["size"], r["prefix"], r["df"], r["tokens"]) for b in jaccard_join._reduce(iter(answers), 4) for r in b.to_pylist())
+    assert found[2] == found[5] == found[10**6] and len(found[2]) > 3
+    df = Counter(x for t in texts for x in set(jaccard_join.shingles(next(bytewords.words(np.frombuffer((t or " ").encode(), np.uint8), np.array([0, len((t or " ").encode())]), bytewords.NOT_SPACE)).hash).tolist()))
+    for row, size, prefix, step, raw in found[2]:
+        t = np.frombuffer(raw, np.uint64).tolist()
+        assert all(df[x] > 1 for x in t) and [math.floor(8 * math.log2(df[x]) + 1e-9) for x in t] == sorted(math.floor(8 * math.log2(df[x]) + 1e-9) for x in t)
+        assert step == math.floor(8 * math.log2(df[t[prefix - 1]]) + 1e-9)
+
+
 def test_blocks_grow(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 3)), pa.array(["x" * 10, None, "y" * 15])], ["row_id", "text"]) for k in range(0, 30, 3)]
     got = list(jaccard_join._blocks(iter(batches), 60))
