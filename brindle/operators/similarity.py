@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.numeric import affine, affine_constants, binary_cosine, jaccard
 from brindle.operators.ordering import dense_index
+from brindle.sources.shared import written
 
 #: 50 functions (a x + b) mod m.
 LSH = tuple(affine_constants(50, 2, (0, 10_000), (20_000, 30_000)))
@@ -35,6 +36,8 @@ def _with_sizes(counted: DataFrame, size: DataFrame) -> DataFrame:
 
 def jaccard_pairs(pairs: DataFrame, least: float, counted: DataFrame | None = None) -> DataFrame:
     """(a, b, sim) of all pairs with Jaccard >= least."""
+    if counted is None:
+        pairs = written(pairs, "sets")
     both = _with_sizes(common_counts(pairs) if counted is None else counted, sizes(pairs))
     sim = jaccard(F.col("common"), F.col("n_a"), F.col("n_b"))
     return both.select("a", "b", sim.alias("sim")).where(F.col("sim") >= least)
@@ -67,6 +70,7 @@ def candidates(banded: DataFrame) -> DataFrame:
 
 def lsh_pairs(pairs: DataFrame, least: float, rows: int = 1, constants: tuple = LSH, shared: int = 1) -> DataFrame:
     """(a, b, sim) of the candidates with Jaccard >= least: a subset of the exact join's result."""
+    pairs = written(pairs, "sets")
     close = candidates(bands(signatures(pairs, constants), rows))
     x, y = pairs.select(F.col("key").alias("a"), "item"), pairs.select(F.col("key").alias("b"), "item")
     counted = close.join(x, "a").join(y, ["b", "item"]).groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= shared)
