@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 
@@ -96,30 +97,34 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType | str, patt
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).format(kind).load(folder)
 
 
-class PushReader(SimpleDataSourceStreamReader):
-    """What a push source has put into its buffer, one JSON status per entry, in order of arrival. The
-    buffer is a folder that its receiver appends `<number>.json` files to, numbered from 0; offsets
-    are numbers, so that a batch can be read again."""
+class _Landed(InputPartition):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+
+class PushReader(DataSourceStreamReader):
+    """What a push source's receiver has put into its buffer: JSON lines, file after file under ascending
+    names, in a folder that all machines mount. Offsets count files, so that a batch can be read again;
+    each file is read by a task of its own."""
 
     def __init__(self, folder: str) -> None:
-        self.folder = folder
+        self.folder = urlparse(folder).path
+
+    def _files(self) -> list[str]:
+        return sorted(name for name in os.listdir(self.folder) if name.endswith(".json"))
 
     def initialOffset(self) -> dict:
-        return {"at": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        at = start["at"]
-        while os.path.exists(f"{self.folder}/{at}.json"):
-            at += 1
-        return self.readBetweenOffsets(start, {"at": at}), {"at": at}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        # the engine copies the iterator, so it can't be a generator
-        found = []
-        for at in range(start["at"], end["at"]):
-            with open(f"{self.folder}/{at}.json", encoding="utf-8") as f:
-                found += [(line.rstrip("\n"),) for line in f if line.strip()]
-        return iter(found)
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(self._files())}
+
+    def partitions(self, start: dict, end: dict) -> list[_Landed]:
+        return [_Landed(f"{self.folder}/{name}") for name in self._files()[start["files"] : end["files"]]]
+
+    def read(self, partition: _Landed) -> Iterator[tuple]:
+        with open(partition.path, encoding="utf-8") as f:
+            yield from ((line.rstrip("\n"),) for line in f if line.strip())
 
     def commit(self, end: dict) -> None:
         pass
@@ -135,7 +140,7 @@ class PushSource(DataSource):
     def schema(self) -> str:
         return "value string"
 
-    def simpleStreamReader(self, schema: StructType) -> PushReader:
+    def streamReader(self, schema: StructType) -> PushReader:
         return PushReader(self.options["path"])
 
 

@@ -24,6 +24,19 @@ def csv_file(result: DataFrame, path: str) -> None:
     result.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def text_file(lines: DataFrame, path: str) -> None:
+    """A column of lines as one text file of that very name; the folder that Spark writes goes."""
+    spark, made = lines.sparkSession, f"{path}.parts"
+    lines.coalesce(1).write.mode("overwrite").text(made)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(made)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    files.delete(hadoop.Path(path), True)
+    files.rename(part, hadoop.Path(path))
+    files.delete(folder, True)
+
+
 def tuple_lines(result: DataFrame, path: str) -> None:
     """One row per line, its columns quoted and separated by commas, in the result's order."""
     shown = [F.concat(F.lit("'"), F.col(c), F.lit("'")) if t == "string" else F.col(c).cast("string") for c, t in result.dtypes]

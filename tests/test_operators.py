@@ -233,7 +233,8 @@ def test_push_source_and_appended_windows(spark, tmp_path):
     say(1, "de", "c")
     counted = lambda: readers.pushed_tags(spark, str(buffer)).groupBy("tag").count()
     query = sinks.stream_to_csv(counted(), out, every="1 second")
-    assert not stateful.run_for(query, 15) and not query.isActive
+    query.processAllAvailable()
+    assert not stateful.run_for(query, 1) and not query.isActive
     rows = spark.read.option("header", True).csv(out)
     assert {(r.tag, r["count"]) for r in rows.collect()} == {("a", "1"), ("b", "1")}
 
