@@ -44,14 +44,24 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is written within goes when it ends: results must have been written elsewhere by then."""
+def recorded() -> Iterator[list[str]]:
+    """The paths that are written within."""
     _scopes.append([])
     try:
-        yield
+        yield _scopes[-1]
     finally:
-        for path in _scopes.pop():
-            remove(spark, path)
+        paths = _scopes.pop()
+        if _scopes:
+            _scopes[-1] += paths
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes when it ends: results must have been written elsewhere by then."""
+    with recorded() as paths:
+        yield
+    for path in paths:
+        remove(spark, path)
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
