@@ -58,6 +58,9 @@ TRUST = 0.5
 #: labels travel through a whole document, they move half the way, for so many rounds at most.
 SETTLED, ROUNDS = 1e-6, 1000
 
+#: Different counts that a task keeps before it hands them on, and rows that share a graph.
+COUNTED, TOGETHER = 50_000, 256
+
 #: Digits from which a number is alike in any grouping.
 DIGITS = 6
 
@@ -408,10 +411,17 @@ def fit(docs: DataFrame, text_col: str = "text") -> Field:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for batch in batches:
-            n += _count(batch.column(0).to_pylist())
+            for k in range(0, batch.num_rows, TOGETHER):
+                n.update(_count(batch.column(0).slice(k, TOGETHER).to_pylist()))
+                if len(n) > COUNTED:
+                    yield counted(n)
+                    n = Counter()
         if n:
-            a, b, c = zip(*n)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(n.values(), pa.int64())], ["factor", "value", "label", "n"])
+            yield counted(n)
+
+    def counted(n: Counter) -> pa.RecordBatch:
+        a, b, c = zip(*n)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(n.values(), pa.int64())], ["factor", "value", "label", "n"])
 
     texts = docs.select(_only_candidates(text_col).alias("text")).where("text is not null")
     counts = written(texts.mapInArrow(work, "factor int, value long, label int, n long").groupBy("factor", "value", "label").agg(F.sum("n").alias("n")), "counts")
@@ -435,9 +445,8 @@ def find(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, more = [], []
-            texts = batch.column(2).to_pylist()
-            for k in range(0, len(texts), 256):
-                part = texts[k : k + 256]
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.column(2).slice(k, TOGETHER).to_pylist()
                 known = [base_spans(t) if t else [] for t in part]
                 base += [structs(s) for s in known]
                 more += [structs(sorted(s)) for s in added(part, known, model)]
