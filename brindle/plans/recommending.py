@@ -119,7 +119,7 @@ def cf_user_sim_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cf_user_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = written(T.ratings(spark, sf_dir, train=True), "ratings")
     wanted = written(T.test_pairs(spark, sf_dir), "wanted")
-    got = R.user_predictions(train, R.user_model(train, of=wanted.select("user_id")), wanted)
+    got = R.nearest_user_predictions(train, wanted)
     return got.select("user_id", "business_id", F.round("stars", 6).alias("stars"))
 
 
@@ -136,5 +136,5 @@ def cf_user_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cf_user_predict_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The MinHash model through to predictions."""
     train = written(T.ratings(spark, sf_dir, train=True), "ratings")
-    got = R.user_predictions(train, R.lsh_user_model(train, LSH[:33]), T.test_pairs(spark, sf_dir))
+    got = R.nearest_user_predictions(train, T.test_pairs(spark, sf_dir), constants=LSH[:33])
     return got.select("user_id", "business_id", F.round("stars", 6).alias("stars"))
