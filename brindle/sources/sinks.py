@@ -20,8 +20,29 @@ def json_lines(result: DataFrame, path: str) -> None:
 
 
 def csv_file(result: DataFrame, path: str) -> None:
-    """One CSV file with a header."""
-    result.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder with one CSV file with a header. Tasks write parts of it, whose bytes are appended to the
+    header in the result's order; no task has all rows, and a part goes when it has been appended."""
+    spark, made = result.sparkSession, [f"{path}.{what}" for what in ("header", "parts")]
+    spark.createDataFrame([tuple(result.columns)], ", ".join(f"c{i} string" for i in range(len(result.columns)))).coalesce(1).write.mode("overwrite").csv(made[0])
+    result.write.mode("overwrite").csv(made[1])
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    files.delete(folder, True)
+    out = files.create(hadoop.fs.Path(folder, "part-00000.csv"))
+    try:
+        for each in made:
+            parts = sorted((s.getPath() for s in files.listStatus(hadoop.fs.Path(each)) if s.getPath().getName().startswith("part-")), key=lambda part: part.getName())
+            for part in parts:
+                piece = files.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(piece, out, conf, False)
+                finally:
+                    piece.close()
+                files.delete(part, True)
+            files.delete(hadoop.fs.Path(each), True)
+    finally:
+        out.close()
 
 
 def text_file(lines: DataFrame, path: str) -> None:
