@@ -1,19 +1,24 @@
 """Clustering of (id, features) points: Lloyd's K-Means and chunked BFR.
 
-Centres and cluster statistics are k rows of d numbers: they are collected and go into the plan as
-array literals, so that assigning a point is an expression, without a join or a Python function.
+Centres and cluster statistics are k rows of d numbers: they are collected and go to the tasks. Points
+meet centres in batches as matrices; as expressions, k times d literals took longer to plan than to run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from brindle.functions.numeric import distance, mahalanobis
+from brindle.functions.numeric import mahalanobis
 from brindle.sources.shared import written
 
 Centres = dict[int, list[float]]
@@ -23,20 +28,72 @@ def _literal(values: list[float]) -> Column:
     return F.lit([float(v) for v in values])
 
 
-def nearest(features: Column, centres: Centres) -> Column:
-    """Struct (distance, cluster) of the nearest centre; ties go to the least cluster."""
-    return F.array_min(F.array(*(F.struct(distance(features, _literal(c)).alias("distance"), F.lit(k).alias("cluster")) for k, c in sorted(centres.items()))))
+def _matrix(features: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the points that have d numbers, and these."""
+    whole = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(features), d), False).to_numpy(zero_copy_only=False))
+    flat = features.take(pa.array(whole)).flatten()
+    if flat.null_count:
+        some = ~pc.is_null(flat).to_numpy(zero_copy_only=False).reshape(-1, d).any(1)
+        whole = whole[some]
+        flat = features.take(pa.array(whole)).flatten()
+    return whole, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def assigned(points: DataFrame, centres: Centres) -> DataFrame:
-    """id, features, cluster, distance."""
-    return points.withColumn("_n", nearest(F.col("features"), centres)).select("id", "features", F.col("_n.cluster").alias("cluster"), F.col("_n.distance").alias("distance"))
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squares are added dimension by dimension, as `distance` adds them, so that ties are the same."""
+    total = np.zeros((len(x), len(centres)))
+    for i in range(centres.shape[1]):
+        apart = x[:, i, None] - centres[:, i]
+        total += apart * apart
+    return np.sqrt(total)
+
 
+def _sorted(centres: Centres) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the clusters, and the centres."""
+    return np.array(sorted(centres), np.int32), np.array([centres[k] for k in sorted(centres)], np.float64)
 
-def means(clustered: DataFrame) -> DataFrame:
-    """(cluster, n, centre): column-wise means."""
-    long = clustered.select("cluster", F.posexplode("features").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return long.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("centre"))
+
+def assigned(points: DataFrame, centres: Centres) -> DataFrame:
+    """id, features, cluster, distance. Ties go to the least cluster, and points without as many numbers as the centres
+    have, at no distance."""
+    numbers, at = _sorted(centres)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, x = _matrix(batch.column(1), at.shape[1])
+            far = _distances(x, at)
+            best = far.argmin(1)
+            cluster, apart, none = np.full(batch.num_rows, numbers[0]), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
+            cluster[whole], apart[whole], none[whole] = numbers[best], far[np.arange(len(x)), best], False
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cluster), pa.array(apart, mask=none)], names=["id", "features", "cluster", "distance"])
+
+    points = points.select("id", "features")
+    return points.mapInArrow(work, StructType([*points.schema.fields, StructField("cluster", IntegerType()), StructField("distance", DoubleType())]))
+
+
+def moved(points: DataFrame, centres: Centres) -> tuple[Centres, float]:
+    """The means of the points nearest to each centre, and the sum of their distances, in one pass: a task hands on
+    a row per cluster. Empty clusters vanish."""
+    numbers, at = _sorted(centres)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, cost = np.zeros(len(at), np.int64), np.zeros(at.shape), np.zeros(len(at))
+        for batch in batches:
+            _, x = _matrix(batch.column(0), at.shape[1])
+            far = _distances(x, at)
+            best = far.argmin(1)
+            n += np.bincount(best, minlength=len(at))
+            cost += np.bincount(best, far[np.arange(len(x)), best], len(at))
+            total += (best == np.arange(len(at))[:, None]).astype(np.float64) @ x
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(list(total[some]), pa.list_(pa.float64())), pa.array(cost[some])], names=["k", "n", "total", "cost"])
+
+    n, total, cost = np.zeros(len(at), np.int64), np.zeros(at.shape), 0.0
+    for r in points.select("features").mapInArrow(work, "k long, n long, total array<double>, cost double").toLocalIterator():
+        n[r.k] += r.n
+        total[r.k] += r.total
+        cost += r.cost
+    return {int(numbers[k]): (total[k] / n[k]).tolist() for k in np.flatnonzero(n)}, float(cost)
 
 
 def statistics(clustered: DataFrame) -> DataFrame:
@@ -49,27 +106,42 @@ def statistics(clustered: DataFrame) -> DataFrame:
 def farthest_first(points: DataFrame, k: int, first: int | None = None) -> Centres:
     """k spread-out points: each next one maximises the distance to its nearest chosen one (ties: the
     least id). The first is given, or the one whose id hashes lowest."""
+    points = points.select("id", "features")
     start = points.where(F.col("id") == first) if first is not None else points.orderBy(F.xxhash64("id"), "id")
-    row = start.select("id", "features").first()
+    row = start.first()
     centres: Centres = {}
     while row is not None and len(centres) < k:
         centres[len(centres)] = list(row.features)
-        far = points.withColumn("d", nearest(F.col("features"), centres)["distance"]).where("d > 0")
-        row = far.orderBy(F.desc("d"), "id").select("id", "features").first()
+        row = _farthest(points, centres).orderBy(F.desc("d"), "id").first() if len(centres) < k else None
     return centres
 
 
+def _farthest(points: DataFrame, centres: Centres) -> DataFrame:
+    """(id, features, d): a batch's points that are farthest from their nearest centre, at more than 0."""
+    _, at = _sorted(centres)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, x = _matrix(batch.column(1), at.shape[1])
+            d = _distances(x, at).min(1)
+            # as in Spark, NaN is more than any number
+            order = np.where(np.isnan(d), np.inf, d)
+            best = np.flatnonzero((order == order.max(initial=0)) & (order > 0))
+            picked = pa.array(whole[best])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(d[best])], names=["id", "features", "d"])
+
+    return points.mapInArrow(work, StructType([*points.schema.fields, StructField("d", DoubleType())]))
+
+
 def lloyd(points: DataFrame, centres: Centres, rounds: int = 100) -> tuple[Centres, DataFrame]:
     """Until the sum of distances stops falling, or for so many rounds. Empty clusters vanish."""
     best = float("inf")
     for _ in range(rounds):
-        clustered = assigned(points, centres)
-        rows = means(clustered).collect()
-        cost = clustered.agg(F.sum("distance")).first()[0] or 0.0
+        new, cost = moved(points, centres)
         if cost >= best:
             break
         best = cost
-        centres = {r.cluster: r.centre for r in rows}
+        centres = new
     return centres, assigned(points, centres)
 
 

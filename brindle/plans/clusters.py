@@ -36,7 +36,7 @@ def kmeans_lloyd_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.points(spark, sf_dir)
     centres = _first_centres(points)
     for _ in range(2):
-        centres = {r.cluster: r.centre for r in C.means(C.assigned(points, centres)).collect()}
+        centres, _ = C.moved(points, centres)
     return C.assigned(points, centres).select("id", "cluster")
 
 
